@@ -10,12 +10,15 @@ from .text import col
 
 def number(c, is_text: bool = True) -> Column:
     """Parse to double; whatever is no number, NaN included, becomes null."""
-    value = col(c)
-    if is_text:
-        # The JVM parser also takes Java's type suffixes ("1d", "2.5f"), which are no numbers here.
-        value = F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value)
-    value = value.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    text = col(c)
+    value = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    if not is_text:
+        return value
+    # The JVM parser also takes Java's type suffixes ("1d", "2.5f"), which are no numbers here.
+    # The last character is looked at first, so that the pattern is rarely tried.
+    last = F.right(F.rtrim(text), F.lit(1))
+    suffixed = F.contains(F.lit("dDfF"), last) & text.rlike(r"[0-9.][dDfF]\s*$")
+    return F.when(~suffixed, value)
 
 
 def count_or_zero(c, is_text: bool = True) -> Column:

@@ -89,30 +89,42 @@ def top_categories(df: DataFrame, label: str = "nutriscore_label", category: str
     return means.orderBy(F.desc("n"), "category").limit(k)
 
 
+# Correlations per aggregate row: their buffers stay under the width Spark compiles.
+_PAIRS_PER_ROW = 15
+
+
 def correlations(df: DataFrame, columns: Sequence[str], lower_triangle: bool = False) -> DataFrame:
     """Pearson correlations over the rows where both values exist, rounded to two digits; one scan.
 
-    Each row gives one entry per pair, which the partial aggregate folds at once: one small
-    compiled aggregate instead of hundreds of buffer columns.
+    The pairs are dealt to a few rows per input row, each folded at once by a compiled partial
+    aggregate; one aggregate with a column per pair would be too wide to compile.
     """
     held = [c for c in columns if c in df.columns]
-    value = {c: col(c).cast("double") for c in held}
-    pairs = combinations(held, 2) if lower_triangle else combinations_with_replacement(held, 2)
-    entries = [
-        F.struct(F.lit(b).alias("column_1"), F.lit(a).alias("column_2"), value[b].alias("x"), value[a].alias("y"))
-        for a, b in pairs
-    ]
-    one = (
-        df.select(F.inline(F.array(*entries)))
-        .groupBy("column_1", "column_2")
-        .agg(F.round(F.corr("x", "y"), 2).alias("correlation"))
+    pairs = list(combinations(held, 2) if lower_triangle else combinations_with_replacement(held, 2))
+    decks = [pairs[i : i + _PAIRS_PER_ROW] for i in range(0, len(pairs), _PAIRS_PER_ROW)]
+    slots = range(max(len(d) for d in decks))
+    nothing = F.lit(None).cast("double")
+    rows = []
+    for number, deck in enumerate(decks):
+        values = []
+        for i in slots:
+            x, y = [col(c).cast("double") for c in deck[i]] if i < len(deck) else (nothing, nothing)
+            values += [x.alias(f"x{i}"), y.alias(f"y{i}")]
+        rows.append(F.struct(F.lit(number).alias("deck"), *values))
+    folded = (
+        df.select(F.inline(F.array(*rows))).groupBy("deck").agg(*[F.corr(f"x{i}", f"y{i}").alias(f"r{i}") for i in slots])
     )
+    cells = [
+        F.struct(F.lit(n).alias("of"), F.lit(b).alias("column_1"), F.lit(a).alias("column_2"), F.round(f"r{i}", 2).alias("correlation"))
+        for n, deck in enumerate(decks)
+        for i, (a, b) in enumerate(deck)
+    ]
+    one = folded.select("deck", F.inline(F.array(*cells))).where("deck = of").drop("deck", "of")
     if lower_triangle:
         return one
-    mirrored = one.where("column_1 <> column_2").select(
-        F.col("column_2").alias("column_1"), F.col("column_1").alias("column_2"), "correlation"
-    )
-    return one.unionByName(mirrored)
+    both = F.array(F.struct("column_1", "column_2"), F.struct(F.col("column_2").alias("column_1"), F.col("column_1").alias("column_2")))
+    sides = F.when(F.col("column_1") == F.col("column_2"), F.slice(both, 1, 1)).otherwise(both)
+    return one.select(F.inline(sides), "correlation")
 
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, direct_rows: int = DIRECT_ROWS) -> DataFrame:

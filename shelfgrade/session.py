@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM leaves larger methods uncompiled; above this size Spark's split projections are
+    # several times faster (parsing nine columns in one projection is such a case).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
