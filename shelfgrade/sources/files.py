@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from ..constants import PRODUCT_COLUMNS, SOURCE_NAMES
 from ..schema import clean_schema, rename_coalesce, select_available
 
+_SPARE = "_one_field_too_many"
+
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Column names of a delimited file, read from its first line only."""
@@ -25,19 +27,24 @@ def scan_delimited(
     names: dict[str, tuple[str, ...]] = SOURCE_NAMES,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A dump as strings: known columns only, malformed lines dropped.
+    """A dump as strings: known columns only, lines with too many fields skipped.
 
-    ``columns`` names the columns of the file in order and saves reading its header.
+    Lines that end early are kept, their last columns null. ``columns`` names the columns of
+    the file in order and saves reading its header.
     """
-    columns = columns or _header(spark, path, sep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    columns = list(columns or _header(spark, path, sep))
+    # The first spare column catches a field too many. The second is never read, so that Spark
+    # always picks columns by position and does not report every regular line as too short.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _SPARE, _SPARE + "_2"]])
     df = (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
         .csv(path)
+        .where(F.col(_SPARE).isNull())
+        .drop(_SPARE, _SPARE + "_2")
     )
     df = rename_coalesce(df, names)
     return df if wanted is None else select_available(df, wanted)
