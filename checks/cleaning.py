@@ -71,7 +71,7 @@ def scan_tsv(spark, folder):
         "sep", "\t"
     ).option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     df = files.scan_delimited(spark, path, wanted=[*ROW, "code", "product_name", "nutriscore_grade", "energy_100g", "saturated_fat_100g"])
-    kinds = {"l_linenumber": "int"}
+    kinds = {"l_linenumber": "int", "l_quantity": "double"}
     return df.withColumns({c: F.col(c).cast(kinds.get(c, "long")) for c in ROW})
 
 
@@ -284,7 +284,7 @@ def int_coerce_zero(spark, folder):
     "clip_p99",
     WITH_RAW
     + f", t AS (SELECT {ORDER}, {parsed_list(NUTRIENTS)} FROM raw), b AS (SELECT {quantile_list(NUTRIENTS, 0.99)} FROM t)"
-    + f", c AS (SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, {clipped_list(NUTRIENTS)} FROM t, b) SELECT {ORDER}, {rounded_list(NUTRIENTS)} FROM c",
+    + f", c AS (SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, t.l_quantity, {clipped_list(NUTRIENTS)} FROM t, b) SELECT {ORDER}, {rounded_list(NUTRIENTS)} FROM c",
 )
 def clip_p99(spark, folder):
     data = stage(step.parse_numbers(views.raw_products(spark, folder).select(*ROW, *NUTRIENTS), NUTRIENTS))

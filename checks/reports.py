@@ -164,7 +164,7 @@ def grade_describe(spark, folder):
 
 # ---- samples and splits ----
 
-ROW_ID = f"concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey)"
+ROW_ID = f"concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey, '/', l_quantity)"
 
 
 def _identified(spark, folder, *columns):

@@ -10,10 +10,10 @@ TABLES = (
 )
 
 # Columns that identify a row and order it.
-ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 PRODUCTS = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
        concat(l_orderkey, '-', l_linenumber) AS code,
        p_name AS product_name,
        p_brand AS brands,
@@ -36,7 +36,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 
 # The same as an untidy dump: strings, missing names, odd grades, values that are no numbers.
 RAW = f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, code,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, code,
        CASE WHEN l_linenumber <> 2 OR nova_group <> 3 OR salt_100g > 0 THEN product_name END AS product_name,
        CASE WHEN l_linenumber <> 4 THEN concat(' ', lower(brands), ' x2y ') END AS brands,
        categories_en, countries_en, ingredients_text,
