@@ -432,7 +432,6 @@ def clean_strict(spark, folder):
 )
 def clean_accounting(spark, folder):
     done = profiles.clean_strict(views.raw_products(spark, folder), ROW)
-    # The figures were counted by the job that wrote the rows; the table only confirms them.
     return done.frame.agg(F.count(F.lit(1)).alias("rows_kept")).select(
         F.lit(done.rows_read).cast("long").alias("rows_read"), "rows_kept", F.lit(done.rows_removed).cast("long").alias("rows_removed")
     )
@@ -488,3 +487,20 @@ def clean_batch(spark, folder):
 def clean_region(spark, folder):
     df = profiles.clean_region(views.raw_products(spark, folder), ROW)
     return rounded(df, *NUTRIENTS).select(*ROW, *OUT, *NUTRIENTS, "additives_n", "nutriscore_label")
+
+
+@query("resolve_source", WITH_PRODUCTS + f"SELECT 'dump' AS source, {ORDER}, code, nutriscore_grade FROM products")
+def resolve_source(spark, folder):
+    clean, dump = scratch_path(spark, "absent"), scratch_path(spark, "present")
+    views.products(spark, folder).select(*ROW, "code", "nutriscore_grade").write.parquet(dump)
+    read = lambda s, p: s.read.parquet(p)
+    name, df = files.first_available(spark, [("clean", clean, read), ("dump", dump, read)])
+    return df.withColumn("source", F.lit(name))
+
+
+@query("jdbc_rows", WITH_PRODUCTS + "SELECT code, product_name, nutriscore_grade, saturated_fat_100g, additives_n FROM products")
+def jdbc_rows(spark, folder):
+    # What an append to the relational table would send: its columns, under its names, in its order.
+    df = views.products(spark, folder).withColumnRenamed("saturated_fat_100g", "saturated-fat_100g")
+    wanted = ["code", "product_name", "nutriscore_grade", "saturated_fat_100g", "predicted_nutriscore", "additives_n"]
+    return sinks.jdbc_rows(df, wanted, {"saturated_fat_100g": ("saturated-fat_100g",)})

@@ -262,3 +262,32 @@ def confusion_matrix(spark, folder):
 def classification_report(spark, folder):
     matrix = evaluation.confusion_matrix(_guessed(spark, folder), "nutriscore_grade", "guess")
     return rounded(evaluation.classification_report(matrix), "precision", "recall", "f1_score")
+
+
+# ---- recorded runs ----
+
+def _metrics(name, table):
+    return (
+        f"SELECT '{name}' AS model, round(CAST(round(sum(CASE WHEN a = p THEN 1 ELSE 0 END) / count(*), 4) AS DOUBLE) * 100, 6) AS accuracy_pct,"
+        f" (SELECT round(sum(2.0 * tp / (guessed + support) * support) / sum(support), 4) FROM (SELECT x, (SELECT count(*) FROM {table} WHERE a = x AND p = x) AS tp,"
+        f" (SELECT count(*) FROM {table} WHERE p = x) AS guessed, (SELECT count(*) FROM {table} WHERE a = x) AS support FROM d) WHERE guessed + support > 0) AS f1_score FROM {table}"
+    )
+
+
+@query(
+    "run_metrics",
+    WITH_PRODUCTS + f", d AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS x), g AS (SELECT nutriscore_grade AS a, {GUESS} AS p FROM products), h AS (SELECT nutriscore_grade AS a, 'b' AS p FROM products) "
+    + _metrics("rule", "g") + " UNION ALL " + _metrics("constant", "h"),
+)
+def run_metrics(spark, folder):
+    from shelfgrade.sources.sinks import append_metrics
+    from shelfgrade.staging import scratch_path
+
+    rows = views.products(spark, folder).select("nutriscore_grade", F.expr(GUESS).alias("rule"), F.lit("b").alias("constant"))
+    path = scratch_path(spark, "metrics")
+    # The later run of a model replaces the earlier one in the comparison.
+    append_metrics(spark, path, "rule", 0.0, 0.0)
+    for model in ("rule", "constant"):
+        scores = evaluation.metrics(evaluation.confusion_matrix(rows, "nutriscore_grade", model))
+        append_metrics(spark, path, model, scores["accuracy"], scores["f1_score"])
+    return rounded(evaluation.compare_models(spark.read.parquet(path)), "accuracy_pct", "f1_score")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..constants import FEATURES, GRADES, NUTRIENTS, REGION_PATTERN
 from ..operators import cleaning as step
@@ -26,55 +26,60 @@ NAME = "product_name"
 
 @dataclass(frozen=True)
 class Cleaned:
+    """A cleaned table. The figures are counted when they are asked for: the kept rows from the
+    footers of the written files, the read rows from the source."""
+
     frame: DataFrame
-    rows_read: int
-    rows_kept: int
+    source: DataFrame
+    data: Staged
+
+    @cached_property
+    def rows_read(self) -> int:
+        return self.source.count()
+
+    @property
+    def rows_kept(self) -> int:
+        return self.data.rows
 
     @property
     def rows_removed(self) -> int:
         return self.rows_read - self.rows_kept
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
-def _staged(df: DataFrame, seen: Observation, name: str) -> tuple[Staged, int]:
+def _staged(df: DataFrame, source: DataFrame, name: str) -> Staged:
     data = stage(df, name)
-    read = seen.get["rows"]
-    if read == 0:
+    if data.rows == 0 and source.isEmpty():
         raise ValueError("no products to clean")
-    return data, read
+    return data
 
 
 def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES, direct_rows: int = DIRECT_ROWS) -> Cleaned:
     """First row per code before any validity rule; clip; group medians; title-case brands."""
-    df, seen = _counted(df)
+    source = df
     df = first_per_key(df, [key], order_by)
     df = step.drop_missing(df, [NAME])
     df = step.keep_domain(step.normalize_grades(df), GRADE, GRADES)
     columns = step.present(df, features)
-    data, read = _staged(step.parse_numbers(df, columns), seen, "strict")
+    data = _staged(step.parse_numbers(df, columns), source, "strict")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows))
     out = step.fill_group_median(data.derive(clipped), GRADE, columns, direct_rows)
     out = step.add_label(step.default_texts(step.parse_counts(out)))
-    return Cleaned(out, read, data.rows)
+    return Cleaned(out, source, data)
 
 
 def clean_basic(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES, direct_rows: int = DIRECT_ROWS) -> Cleaned:
     """Grades as written; clip; global medians; rows without label stay."""
-    df, seen = _counted(df)
+    source = df
     df = first_per_key(df, [key], order_by)
     df = step.keep_domain(step.drop_missing(df, [NAME]), GRADE, GRADES)
     columns = step.present(df, features)
-    data, read = _staged(step.parse_numbers(df, columns), seen, "basic")
+    data = _staged(step.parse_numbers(df, columns), source, "basic")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows))
     out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns, direct_rows))
     out = step.add_label(out, drop_unknown=False)
     if "additives_n" in out.columns:
         out = step.fill_values(out, {"additives_n": 0.0})
-    return Cleaned(step.default_texts(out), read, data.rows)
+    return Cleaned(step.default_texts(out), source, data)
 
 
 def clean_region(
@@ -100,13 +105,13 @@ def clean_region(
 
 def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = NUTRIENTS, direct_rows: int = DIRECT_ROWS) -> Cleaned:
     """Validity rules first, then one row per code; clip; global medians; brands only stripped."""
-    df, seen = _counted(df)
+    source = df
     df = step.drop_missing(step.keep_domain(df, GRADE, GRADES), [NAME])
     if key in df.columns:
         df = first_per_key(df, [key], order_by)
     columns = step.present(df, features)
-    data, read = _staged(step.parse_numbers(df, columns), seen, "batch")
+    data = _staged(step.parse_numbers(df, columns), source, "batch")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows), swap=False)
     out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns, direct_rows))
     out = step.add_label(step.parse_counts(out), drop_unknown=False)
-    return Cleaned(step.default_texts(out, category=None, title=False), read, data.rows)
+    return Cleaned(step.default_texts(out, category=None, title=False), source, data)
