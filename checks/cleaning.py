@@ -218,12 +218,15 @@ def from_json_messages(spark, folder):
     return parsed_counts.unionByName(refused)
 
 
+EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
 @query(
     "describe_schema",
-    "SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) AS t(column_name, column_type)",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS column_type, count({c}) AS n_values FROM events" for c, t in EVENT_TYPES.items()),
 )
 def describe(spark, folder):
-    return describe_schema(views.table(spark, folder, "events")).drop("nullable")
+    return describe_schema(views.table(spark, folder, "events"), count_values=True)
 
 
 # ---- single steps ----

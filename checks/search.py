@@ -38,6 +38,11 @@ def filter_contains(spark, folder):
     return search.search(views.table(spark, folder, "documents"), term="%", name="text", limit=None).select("doc_id", "lang")
 
 
+@query("filter_category", WITH_PRODUCTS + f"SELECT {ORDER}, categories_en FROM products WHERE contains(categories_en, 'SMALL, r')")
+def filter_category(spark, folder):
+    return search.in_category(views.products(spark, folder).select(*ROW, "categories_en"), "SMALL, r")
+
+
 @query(
     "exclude_terms",
     "WITH d AS (SELECT doc_id, CASE WHEN lang <> 'de' THEN text END AS text FROM documents) SELECT doc_id FROM d WHERE (text IS NULL OR NOT contains(lower(text), 'tion')) AND (text IS NULL OR NOT contains(lower(text), 'the '))",

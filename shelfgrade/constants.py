@@ -77,7 +77,6 @@ MIN_TRAIN_TEXT = 10
 MIN_QUERY_TEXT = 5
 
 STREAM_TOPIC = "off-products"
-STREAM_BATCH = 500
 JDBC_BATCH = 1000
 
 # ---- end of fixed values -------------------------------------------------------

@@ -38,6 +38,11 @@ def search(
     return df.orderBy(*[col(t).asc_nulls_last() for t in tie_break]).limit(limit)
 
 
+def in_category(df: DataFrame, category: str, categories: str = "categories_en") -> DataFrame:
+    """Rows whose category text contains the picked category as written, capitals included."""
+    return df.where(F.contains(col(categories), F.lit(category)))
+
+
 def exclude_terms(df: DataFrame, terms: Sequence[str], text: str) -> DataFrame:
     """Rows without any of the terms; a missing text has none."""
     return df.where(~contains_any(text, terms)) if terms else df

@@ -1,8 +1,12 @@
 """Join on "text contains needle" without comparing every pair.
 
-Each needle is looked up by one of its character grams, the one that occurs in the fewest
-texts; only texts that hold this gram are compared with the needle. The join is an equi-join
-on grams, its result is exact, and the work grows with the texts and the matches.
+A needle without white space lies within one word, so it is compared with the distinct words
+of all texts, and the words that hold it lead back to the texts by an equi-join. A needle with
+white space is compared with the texts themselves.
+
+In both cases the needle is looked up by one of its character grams, the one that occurs in the
+fewest words or texts; only those that hold this gram are tested. The result is exact, and the
+work grows with the texts and the matches.
 """
 
 from __future__ import annotations
@@ -32,15 +36,23 @@ def join_containing(needles: Staged, texts: Staged) -> DataFrame:
 
     Empty needles are left out: they occur in everything.
     """
-    words, corpus = needles.frame, texts.frame
-    matched = _long_matches(words.where(F.length("needle") >= GRAM), corpus)
-    short = words.where(F.length("needle").between(1, GRAM - 1))
-    # A needle shorter than a gram is a gram of that size itself. (At most two sizes.)
-    for size in [r["n"] for r in short.select(F.length("needle").alias("n")).distinct().collect()]:
-        held = corpus.withColumn("needle", F.explode(_grams("text", size)))
-        exact = short.where(F.length("needle") == size)
-        matched = matched.unionByName(held.join(exact, "needle").select(*matched.columns))
-    return matched
+    words, corpus = needles.frame.where(F.length("needle") > 0), texts.frame
+    spaced = F.col("needle").rlike(r"\s")
+    found = _by_words(words.where(~spaced), corpus)
+    phrases = words.where(spaced)
+    if not phrases.isEmpty():
+        found = found.unionByName(_matches(phrases, corpus.select("text_id", "text")))
+    return found.join(corpus, "text_id").select("needle", *corpus.columns)
+
+
+def _by_words(words: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``needle, text_id`` through the distinct words of the texts."""
+    held = corpus.select("text_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    vocabulary = stage(held.select("word").distinct(), "vocabulary").frame
+    pairs = _matches(words, vocabulary.select(F.col("word").alias("text_id"), F.col("word").alias("text")))
+    pairs = stage(pairs.select("needle", F.col("text_id").alias("word")), "pairs").frame
+    # A text can hold the needle in several words.
+    return held.join(pairs, "word").select("needle", "text_id").distinct()
 
 
 def _grams(c, size: int) -> Column:
@@ -48,6 +60,18 @@ def _grams(c, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
+def _matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``needle, text_id`` for every needle and the texts it occurs in."""
+    matched = _long_matches(words.where(F.length("needle") >= GRAM), corpus)
+    short = words.where(F.length("needle") < GRAM)
+    # A needle shorter than a gram is a gram of that size itself. (At most two sizes.)
+    for size in [r["n"] for r in short.select(F.length("needle").alias("n")).distinct().collect()]:
+        held = corpus.select("text_id", F.explode(_grams("text", size)).alias("needle"))
+        exact = short.where(F.length("needle") == size)
+        matched = matched.unionByName(held.join(exact, "needle").select("needle", "text_id"))
+    return matched
+
+
 def _long_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     word_grams = words.select("needle", F.explode(_grams("needle", GRAM)).alias("gram"))
     held = corpus.select("text_id", F.explode(_grams("text", GRAM)).alias("gram"))
@@ -67,4 +91,6 @@ def _long_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     anchors = stage(anchors, "anchors").frame
     candidates = held.join(anchors, "gram").select("text_id", "needle")
-    return candidates.join(corpus, "text_id").where(F.contains(F.col("text"), F.col("needle"))).select("needle", *corpus.columns)
+    return (
+        candidates.join(corpus, "text_id").where(F.contains(F.col("text"), F.col("needle"))).select("needle", "text_id")
+    )

@@ -68,9 +68,12 @@ def rename_coalesce(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFra
     return df.select(*out)
 
 
-def describe_schema(df: DataFrame) -> DataFrame:
-    """Column names and types as rows."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, column_type string, nullable boolean"
-    )
+def describe_schema(df: DataFrame, count_values: bool = False) -> DataFrame:
+    """Column names and types as rows, on request with the number of values each column holds."""
+    rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    schema = df.sparkSession.createDataFrame(rows, "column_name string, column_type string")
+    if not count_values:
+        return schema
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    long = counts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column_name", "n_values")
+    return schema.join(long, "column_name")

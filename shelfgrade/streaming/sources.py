@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import STREAM_BATCH, STREAM_TOPIC
+from ..constants import STREAM_TOPIC
 
 
-def topic_stream(spark: SparkSession, servers: str, topic: str = STREAM_TOPIC, rows_per_batch: int | None = STREAM_BATCH, **options) -> DataFrame:
-    """Messages of a topic from its beginning, as ``value``. Offsets live in the checkpoint."""
+def topic_stream(spark: SparkSession, servers: str, topic: str = STREAM_TOPIC, rows_per_batch: int | None = None, **options) -> DataFrame:
+    """Messages of a topic from its beginning, as ``value``. Offsets live in the checkpoint.
+
+    ``rows_per_batch`` bounds a micro-batch; without it a batch takes what has arrived.
+    """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)

@@ -46,6 +46,27 @@ def brute_substitutes(rows, n):
     return sorted(out)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Sides too large to broadcast, as on a large table."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def test_substring_join_without_broadcast(spark, no_broadcast):
+    assert matches(spark, ["ab", "b c", "abc", "x"], ["abc", "ab c", "x y"]) == [
+        ("ab", "ab c"), ("ab", "abc"), ("abc", "abc"), ("b c", "ab c"), ("x", "x y"),
+    ]
+
+
+def test_substitutes_without_broadcast(spark, no_broadcast):
+    test_substitutes_equal_one_lookup_per_product(spark, 3)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substitutes_equal_one_lookup_per_product(spark, seed):
     rng = random.Random(seed)
@@ -58,7 +79,10 @@ def test_substitutes_equal_one_lookup_per_product(spark, seed):
         for i in range(120)
     ]
     products = spark.createDataFrame(rows, PRODUCTS)
-    got = find_substitutes(products, ["code"], n=3).select("code", "position", "source", "sub_code").collect()
+    found = find_substitutes(products, ["code"], n=3).select("code", "position", "source", "sub_code")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
+    got = found.collect()
     assert sorted(map(tuple, got)) == brute_substitutes(rows, 3)
 
 
