@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfgrade.constants import FEATURES, GRADES, NUTRIENTS
-from shelfgrade.functions import numeric, text
-from shelfgrade.functions.grades import grade_label, grade_position
+from shelfgrade.functions import text
+from shelfgrade.functions.grades import grade_position
 from shelfgrade.operators import cleaning as step
 from shelfgrade.operators.dedup import first_per_key, merge_old_wins
-from shelfgrade.operators.order_statistics import staged_columns
 from shelfgrade.operators.sampling import first_rows
 from shelfgrade.plans import profiles, views
 from shelfgrade.plans.sql import run_sql
@@ -20,7 +19,6 @@ from shelfgrade.staging import scratch_path, stage
 
 from .registry import ORDER, WITH_PRODUCTS, WITH_RAW, query, rounded
 
-SHORT = ["code", "product_name", "brands", "categories_en", "nutriscore_grade"]
 DOMAIN = ", ".join(f"'{g}'" for g in GRADES)
 
 
@@ -40,7 +38,7 @@ def titled(c):
     )
 
 
-LABEL = f"(ascii(nutriscore_grade) - 97)"
+LABEL = "(ascii(nutriscore_grade) - 97)"
 FIRST_BY_CODE = f"QUALIFY row_number() OVER (PARTITION BY code ORDER BY {ORDER}) = 1"
 
 
@@ -144,7 +142,7 @@ def replace_table(spark, folder):
     "SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS product_name, p_brand AS brands, CAST(p_retailprice AS VARCHAR) AS energy_100g FROM part",
 )
 def json_explode_products(spark, folder):
-    # Search responses of one page per brand and size, as the service would send them.
+    # Search responses of twenty products a page, as the service would send them.
     part = views.table(spark, folder, "part")
     item = F.struct(
         F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("product_name"),
@@ -400,11 +398,6 @@ def merge(spark, folder):
 OUT = ["code", "product_name", "brands", "categories_en", "nutriscore_grade"]
 
 
-def _profile_out(features, label=True, extra=()):
-    labels = ["CAST(nutriscore_label AS INTEGER) AS nutriscore_label"] if label else []
-    return ", ".join([*ROW, *OUT, *extra, f"{rounded_list(features)}", *labels])
-
-
 GRADE = STRIP.format("lower(nutriscore_grade)")
 
 STRICT = (

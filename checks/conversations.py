@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from shelfgrade.functions.text import query_words
 from shelfgrade.operators import messages
 from shelfgrade.plans import views
-from shelfgrade.staging import stage
 
 from .registry import DOC_CATALOGUE, query
 

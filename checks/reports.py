@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from shelfgrade.constants import FEATURES, GRADES, NUTRIENTS
+from shelfgrade.constants import FEATURES
 from shelfgrade.functions.grades import describe_grade
 from shelfgrade.operators import evaluation, learning, sampling, statistics
 from shelfgrade.plans import views
@@ -51,7 +51,7 @@ def dashboard_kpis(spark, folder):
 
 @query(
     "grade_dist_zero_fill",
-    WITH_PRODUCTS + f", c AS (SELECT nutriscore_grade AS g, count(*) AS n FROM products WHERE product_name LIKE 'red%' AND p_size_bound GROUP BY nutriscore_grade)".replace("AND p_size_bound", "AND nutriscore_grade <> 'c'")
+    WITH_PRODUCTS + ", c AS (SELECT nutriscore_grade AS g, count(*) AS n FROM products WHERE product_name LIKE 'red%' AND nutriscore_grade <> 'c' GROUP BY nutriscore_grade)"
     + f" SELECT nutriscore_grade, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0 / greatest((SELECT sum(n) FROM c), 1), 6) AS percent FROM {GRADE_TABLE} LEFT JOIN c ON g = nutriscore_grade",
 )
 def grade_dist_zero_fill(spark, folder):
@@ -164,7 +164,7 @@ def grade_describe(spark, folder):
 
 # ---- samples and splits ----
 
-ROW_ID = f"concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey, '/', l_quantity)"
+ROW_ID = "concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey, '/', l_quantity)"
 
 
 def _identified(spark, folder, *columns):
@@ -226,7 +226,7 @@ def ml_features(spark, folder):
 
 # ---- evaluation of a fixed rule that guesses the grade ----
 
-GUESS = "CASE WHEN additives_n < 2 THEN nutriscore_grade WHEN l_quantity_ < 20 THEN 'b' WHEN l_quantity_ < 45 THEN 'd' ELSE 'a' END".replace("l_quantity_", "fat_100g")
+GUESS = "CASE WHEN additives_n < 2 THEN nutriscore_grade WHEN fat_100g < 20 THEN 'b' WHEN fat_100g < 45 THEN 'd' ELSE 'a' END"
 COUNTED = (
     WITH_PRODUCTS + f", g AS (SELECT nutriscore_grade AS a, {GUESS} AS p FROM products WHERE nutriscore_grade <> 'e')"
     + ", d AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS x)"

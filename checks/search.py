@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfgrade.constants import ALLERGENS, COMPARED_SHAPE, FEATURES, GRADES
+from shelfgrade.constants import ALLERGENS, COMPARED_SHAPE, FEATURES
 from shelfgrade.operators import compare, search
 from shelfgrade.operators.dedup import first_per_key
 from shelfgrade.operators.substitutes import find_substitutes

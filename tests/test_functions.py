@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from shelfgrade.constants import ALLERGENS, THEMES
 from shelfgrade.functions import grades, numeric, text

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfgrade.operators import compare, messages, search
 from shelfgrade.operators.substitutes import find_substitutes
@@ -182,4 +181,3 @@ def test_replies_and_context(spark):
         "  • Soda (Marque inconnue) — Nutri-Score C (Moyen — À consommer avec modération ⚠️)\n"
         f"    Énergie: {2.5:.0f} kcal | Sucres: {10.25:.1f}g | Sel: 0.00g | Graisses: 0.5g | Protéines: 1.0g | Additifs: 3\n"
     )
-    assert messages.advice(F.lit("B")) is not None
