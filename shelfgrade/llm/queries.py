@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, sharding, url_filter
+from . import chat, sharding, simhash, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -99,3 +99,9 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT
 def op10_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+@query()
+def op7_simhash(spark, sf_dir):
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), "doc_id", shingle=3, radius=3)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
