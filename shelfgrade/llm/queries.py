@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, sharding, simhash, url_filter
+from . import chat, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -105,3 +105,21 @@ def op10_url_filter(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     found = simhash.near_copies(table(spark, sf_dir, "documents"), "doc_id", shingle=3, radius=3)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def remainder(key: str, n: int):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
+
+
+def toxicity_model(spark, sf_dir):
+    """Fitted on the labelled rows of three of four folds."""
+    learned = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
+    docs, labels = table(spark, sf_dir, "documents").where(learned), table(spark, sf_dir, "labels").where(learned)
+    return toxicity.train(docs, labels, "doc_id", "text", "lang", "toxic")
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out)
+    return toxicity.score(docs, toxicity_model(spark, sf_dir), "text", "lang", ["doc_id", "held_out"])
