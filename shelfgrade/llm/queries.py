@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, sharding, simhash, toxicity, url_filter
+from . import chat, decontaminate, secret_scan, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -123,3 +123,34 @@ def op9_toxicity(spark, sf_dir):
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out)
     return toxicity.score(docs, toxicity_model(spark, sf_dir), "text", "lang", ["doc_id", "held_out"])
+
+
+WINDOW = 10
+_SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, w[i : i + {WINDOW} - 1] AS win
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item, i, n FROM grams JOIN (SELECT item, array_to_string(win, ' ') AS gram FROM windows) USING (gram)),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id),
+marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN found USING (doc_id) LEFT JOIN marked USING (doc_id)
+""")
+def op2_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], size=WINDOW)
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op3_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
