@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window, functions as F
 
-from . import chat, decontaminate, secret_scan, sharding, simhash, toxicity, url_filter
+from . import chat, decontaminate, pieces, secret_scan, sharding, simhash, toxicity, url_filter
+
+# Files of public tokenizers; a cluster names its own copy.
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -154,3 +159,22 @@ def op2_decontaminate(spark, sf_dir):
 def op3_secret_scan(spark, sf_dir):
     found = secret_scan.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
+
+
+@query()
+def op5_pieces(spark, sf_dir):
+    """Three best segmentations of each text; the best one is decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = pieces.encode(docs, "text", ["doc_id", "text"], PIECES, n=3)
+    digest = encoded.select(
+        "doc_id",
+        F.xxhash64("text").alias("_text"),
+        "ids",
+        "n_pieces",
+        "score",
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.transform("alternatives", lambda a: a["score"]).alias("next_scores"),
+    )
+    kept = ["doc_id", "n_pieces", "score", "ids_sha256", "next_scores", "_text"]
+    decoded = pieces.decode(digest, "ids", kept, PIECES)
+    return decoded.withColumn("round_trip", F.xxhash64("decoded") == F.col("_text")).drop("_text", "decoded")
