@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, decontaminate, pieces, secret_scan, sharding, simhash, toxicity, url_filter
+from . import chat, decontaminate, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, url_filter
 
 # Files of public tokenizers; a cluster names its own copy.
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -178,3 +178,24 @@ def op5_pieces(spark, sf_dir):
     kept = ["doc_id", "n_pieces", "score", "ids_sha256", "next_scores", "_text"]
     decoded = pieces.decode(digest, "ids", kept, PIECES)
     return decoded.withColumn("round_trip", F.xxhash64("decoded") == F.col("_text")).drop("_text", "decoded")
+
+
+@query()
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(remainder("doc_id", 5) != 0), "doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), "text", profiles, ["doc_id", "held_out"])
+
+
+@query("""
+WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5
+""")
+def op8_top_products(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products.top_products(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256.0)
