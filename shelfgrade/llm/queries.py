@@ -199,3 +199,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op8_top_products(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return top_products.top_products(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+@query()
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -152,6 +152,46 @@ def named(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def find(text: str, least: float = LEAST):
+    """Base spans and added spans of a text."""
+    base = base_spans(text)
+    return base, guess_spans(text, base, least)
+
+
+def masked(text: str, spans, mark: str) -> str:
+    """The text with every run of spans that touch or overlap replaced by ``mark``."""
+    out, done = [], 0
+    runs: list[list[int]] = []
+    for start, _, end in sorted(spans):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    for start, end in runs:
+        out += [text[done:start], mark]
+        done = end
+    return "".join([*out, text[done:]])
+
+
+def redact(df: DataFrame, text: str, mark: str = "<secret>", least: float = LEAST) -> DataFrame:
+    """The same rows and columns, secrets in ``text`` replaced by ``mark``; a missing text stays missing."""
+    rest = [c for c in df.columns if c != text]
+    rows = df.select(F.struct(*rest).alias("_rest") if rest else F.lit(0).alias("_rest"), F.col(text).alias("_text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("_text")
+            suspect = pc.match_substring_regex(texts, _ANY).to_pylist()
+            clean = []
+            for i, look in enumerate(suspect):
+                body = texts[i].as_py()
+                clean.append(masked(body, sum(find(body, least), []), mark) if look else body)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], names=b.schema.names)
+
+    done = rows.mapInArrow(run, rows.schema)
+    return done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in df.columns])
+
+
 def scan(df: DataFrame, text: str, keep, least: float = LEAST) -> DataFrame:
     """``keep`` columns, n_assign, n_access, n_hex, n_guess, base and all spans as text."""
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -163,8 +203,7 @@ def scan(df: DataFrame, text: str, keep, least: float = LEAST) -> DataFrame:
             counts, base_text, all_text = [[], [], [], []], [], []
             for i, look in enumerate(suspect):
                 text = texts[i].as_py() if look else ""
-                base = base_spans(text) if look else []
-                more = guess_spans(text, base, least) if look else []
+                base, more = find(text, least) if look else ([], [])
                 for k in range(4):
                     counts[k].append(sum(kind == k for _, kind, _ in (*base, *more)))
                 base_text.append(named(base))

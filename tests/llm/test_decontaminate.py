@@ -1,27 +1,11 @@
 """Phrase and proximity matches against brute force."""
 
 import random
-import re
 
 import pytest
 
 from shelfgrade.llm import decontaminate
-
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def split(text):
-    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
-
-
-def windows(items, size):
-    out = {}
-    for key, text in items:
-        w = split(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(tuple(w[i : i + size]), set()).add("" if key is None else str(key))
-    return out
-
+from tests.llm.brute import hits, windows
 
 @pytest.fixture(scope="module")
 def data():
@@ -49,13 +33,8 @@ def test_contamination(spark, data):
     wins = windows(items, 6)
     want = []
     for key, text in docs:
-        w, hit, found = split(text), set(), set()
-        for win, ids in wins.items():
-            for i in range(len(w) - len(win) + 1):
-                if tuple(w[i : i + len(win)]) == win:
-                    hit |= set(range(i, i + len(win)))
-                    found |= ids
-        want.append((-1 if key is None else key, len(w), len(hit), len(found), tuple(sorted(found))))
+        hit, found, n = hits(text, wins)
+        want.append((-1 if key is None else key, n, len(hit), len(found), tuple(sorted(found))))
     assert got == sorted(want)
     assert {r.n_hit for r in decontaminate.contamination(df, bench.limit(0), ["doc_id"]).collect()} == {0}
     assert decontaminate.contamination(df.limit(0), bench, ["doc_id"]).count() == 0

@@ -1,39 +1,14 @@
 """Fingerprints, bit-sliced links and groups against brute force."""
 
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from shelfgrade.llm import simhash
 from shelfgrade.llm.components import connected_components
-
-
-def fingerprint(text, n=3):
-    lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] * bool(words)
-    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def roots(values, linked):
-    up = {v: v for v in values}
-
-    def find(v):
-        while up[v] != v:
-            v = up[v]
-        return v
-
-    for a in values:
-        for b in values:
-            if a < b and linked(a, b):
-                x, y = sorted((find(a), find(b)))
-                up[y] = x
-    return {v: find(v) for v in values}
+from tests.llm.brute import fingerprint, roots
 
 
 @pytest.mark.parametrize("radius", [1, 2, 3, 5])
