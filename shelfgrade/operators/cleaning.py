@@ -13,7 +13,7 @@ from ..functions.grades import grade_label
 from ..functions.text import col
 from ..schema import ensure_column
 from ..staging import Staged, stage
-from .order_statistics import DIRECT_ROWS, exact_quantiles
+from .order_statistics import exact_quantiles
 
 
 def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -53,9 +53,9 @@ def parse_counts(df: DataFrame, columns: Sequence[str] = ("additives_n",)) -> Da
     )
 
 
-def clip_bounds(data: Staged, columns: Sequence[str], upper: float = 0.99, direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
+def clip_bounds(data: Staged, columns: Sequence[str], upper: float = 0.99) -> dict[str, float | None]:
     """Upper clip bound of every column, from one aggregate over the staged table."""
-    found = exact_quantiles(data, columns, [upper], direct_rows=direct_rows).first()
+    found = exact_quantiles(data, columns, [upper]).first()
     return {c: (found[c][0] if found is not None and found[c] else None) for c in columns}
 
 
@@ -69,8 +69,8 @@ def clip_outliers(df: DataFrame, bounds: dict[str, float | None], low: float = 0
     return df.withColumns({c: numeric.clip(c, *limits[c]) for c in bounds})
 
 
-def global_medians(data: Staged, columns: Sequence[str], direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
-    return clip_bounds(data, columns, 0.5, direct_rows) if columns else {}
+def global_medians(data: Staged, columns: Sequence[str]) -> dict[str, float | None]:
+    return clip_bounds(data, columns, 0.5) if columns else {}
 
 
 def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
@@ -78,7 +78,7 @@ def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     return df.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in known.items()}) if known else df
 
 
-def fill_group_median(data: Staged, by: str, columns: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def fill_group_median(data: Staged, by: str, columns: Sequence[str]) -> DataFrame:
     """Missing values from the median of the row's group, then from the median of the filled column.
 
     The medians are a table of one row per group, joined without a hint: its files are
@@ -88,7 +88,7 @@ def fill_group_median(data: Staged, by: str, columns: Sequence[str], direct_rows
     df = data.frame
     columns = list(columns)
     medians = stage(
-        exact_quantiles(data, columns, [0.5], [by], direct_rows)
+        exact_quantiles(data, columns, [0.5], [by])
         .where(col(by).isNotNull())
         .select(col(by).alias("_group"), *[F.get(col(c), F.lit(0)).alias(f"_median_{c}") for c in columns]),
         "medians",
@@ -98,7 +98,7 @@ def fill_group_median(data: Staged, by: str, columns: Sequence[str], direct_rows
     ).select(*[col(c) for c in df.columns])
     open_ = medians.agg(*[F.max(F.col(f"`_median_{c}`").isNull()).alias(c) for c in columns]).first()
     rest = [c for c in columns if open_[c] or open_[c] is None]
-    return fill_values(filled, global_medians(data.derive(filled), rest, direct_rows))
+    return fill_values(filled, global_medians(data.derive(filled), rest))
 
 
 def default_texts(df: DataFrame, brand: str = "brands", category: str | None = "categories_en", title: bool = True) -> DataFrame:

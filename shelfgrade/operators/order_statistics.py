@@ -1,10 +1,11 @@
 """Exact quantiles and ranks that do not gather a group in one task.
 
-Tables of up to ``direct_rows`` rows are ordered per group in memory. In larger tables each
-group is narrowed first: a mergeable sketch gives an interval that holds the wanted rank, the
-rows inside are counted and sketched again, and so on until few distinct values are left. Every pass is a partial aggregate over the staged narrow
-table; the last one orders at most ``direct_rows`` distinct values per wanted rank. A value that
-fills a third of the rows collapses to one entry and cannot keep an interval wide.
+One aggregate sketches all columns of all groups side by side. The sketch gives, for each wanted
+rank, an interval of its values that is sure to hold it, about one part in seventy of the rows.
+A second pass counts the rows below each interval and takes out those inside, folded by value: a
+value that fills a third of the rows is one entry. These entries are range-partitioned, numbered by
+the sums of the partitions before them, and the entry at the rank is picked. There is one way for
+all sizes, its number of passes is constant, and no task holds more than a range of the entries.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..staging import Staged, stage
+from ..staging import Staged, scope, stage
 
-DIRECT_ROWS = 1_000_000
 _CELLS = 200
-_MAX_PASSES = 12
 
 
 def staged_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Staged:
@@ -36,52 +35,34 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    direct_rows: int = DIRECT_ROWS,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per group, one ``array<double>`` per column with the interpolated quantiles."""
-    if data.rows <= direct_rows:
-        return _ordered_in_memory(data.frame, columns, probs, by)
     positions = [lambda n, p=p: F.lit(float(p)) * (n - 1) for p in probs]
-    found = positioned_values(data.frame, columns, positions, by, direct_rows, accuracy)
-    slots = [
-        F.array(
+    spark = data.frame.sparkSession
+    with scope(spark) as keep:
+        found = positioned_values(data.frame, columns, positions, by, accuracy)
+        slots = [
+            F.array(
+                *[
+                    F.max(F.when((F.col("measure") == c) & (F.col("target") == i), F.col("found")))
+                    for i in range(len(probs))
+                ]
+            )
+            for c in columns
+        ]
+        wide = found.groupBy(*[col(b) for b in by]).agg(
             *[
-                F.max(F.when((F.col("measure") == c) & (F.col("target") == i), F.col("found")))
-                for i in range(len(probs))
+                # Like percentile, a column without values has no quantiles at all.
+                F.when(~F.exists(slot, lambda v: v.isNull()), slot).alias(c)
+                for c, slot in zip(columns, slots)
             ]
         )
-        for c in columns
-    ]
-    wide = found.groupBy(*[col(b) for b in by]).agg(
-        *[
-            # Like percentile, a column without values has no quantiles at all.
-            F.when(~F.exists(slot, lambda v: v.isNull()), slot).alias(c)
-            for c, slot in zip(columns, slots)
-        ]
-    )
-    if not by:
-        return wide
-    groups = data.frame.select(*[col(b) for b in by]).distinct()
-    same = [groups[b].eqNullSafe(wide[b]) for b in by]
-    return groups.join(wide, same, "left").select(*[groups[b] for b in by], *[wide[c] for c in columns])
-
-
-def _ordered_in_memory(df: DataFrame, columns, probs, by) -> DataFrame:
-    """For tables known to be small: sorting a bounded array is several times faster than the
-    hash of distinct values that ``percentile`` builds."""
-    ordered = df.groupBy(*[col(b) for b in by]).agg(*[F.sort_array(F.collect_list(col(c))).alias(c) for c in columns])
-
-    def at(values: Column, p: float) -> Column:
-        place = F.lit(float(p)) * (F.size(values) - 1)
-        low = F.get(values, F.floor(place).cast("int"))
-        high = F.get(values, F.ceil(place).cast("int"))
-        return low + (high - low) * (place - F.floor(place))
-
-    return ordered.select(
-        *[col(b) for b in by],
-        *[F.when(F.size(col(c)) > 0, F.array(*[at(col(c), p) for p in probs])).alias(c) for c in columns],
-    )
+        if by:
+            groups = data.frame.select(*[col(b) for b in by]).distinct()
+            same = [groups[b].eqNullSafe(wide[b]) for b in by]
+            wide = groups.join(wide, same, "left").select(*[groups[b] for b in by], *[wide[c] for c in columns])
+        return keep(stage(wide, "quantiles"))
 
 
 def positioned_values(
@@ -89,7 +70,6 @@ def positioned_values(
     columns: Sequence[str],
     positions: Sequence[Callable[[Column], Column]],
     by: Sequence[str] = (),
-    direct_rows: int = DIRECT_ROWS,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Value at each 0-based position of the ordered non-null values of each group and column.
@@ -98,100 +78,101 @@ def positioned_values(
     Returns ``by..., measure, target, n, below, found``; ``below`` counts the values that lie
     strictly under the value at the position rounded down.
     """
-    by = list(by)
-    long = df.unpivot([col(b) for b in by], [col(c) for c in columns], "measure", "value").where(
-        "value IS NOT NULL"
-    )
-    group = by + ["measure"]
-    cells = F.array(*[F.lit(i / _CELLS) for i in range(_CELLS + 1)])
-    summary = (
-        F.count("value").alias("inside"),
-        F.approx_count_distinct("value").alias("different"),
-        F.percentile_approx("value", cells, accuracy).alias("grid"),
-    )
-    first = long.groupBy(*[col(g) for g in group]).agg(*summary)
-    targets = first.select(
-        *[col(g) for g in group],
-        F.lit(0).cast("long").alias("below"),
-        *[F.col(c) for c in ("inside", "different", "grid")],
-        F.col("inside").alias("n"),
-        F.posexplode(F.array(*[p(F.col("inside")).cast("double") for p in positions])).alias("target", "position"),
-    ).withColumns({"lo": F.col("grid")[0], "hi": F.element_at("grid", -1)})
-    targets = targets.where("position >= 0 AND position <= n - 1")
-
-    for _ in range(_MAX_PASSES):
-        targets = stage(targets, "targets").frame
-        widest = targets.agg(F.max("different").alias("m")).first()["m"]
-        if widest is None or widest <= direct_rows:
-            break
-        targets = _narrow(long, targets, group, summary)
-    return _pick(long, targets, group)
-
-
-def _narrow(long: DataFrame, targets: DataFrame, group: list[str], summary) -> DataFrame:
-    """Cut each interval to the sketch cells around its rank, then count and sketch inside."""
-    lo_rank = F.floor("position") - F.col("below")
-    hi_rank = F.ceil("position") - F.col("below")
-    # One cell of margin on each side covers the error of the sketch; the ends stay where they are.
-    left = F.greatest(F.floor(lo_rank * _CELLS / F.col("inside")) - 1, F.lit(0)).cast("int")
-    right = F.least(F.ceil((hi_rank + 1) * _CELLS / F.col("inside")) + 1, F.lit(_CELLS)).cast("int")
-    kept = group + ["target", "position", "n"]
-    cut = targets.select(
-        *[col(k) for k in kept],
-        F.when(left <= 0, F.col("lo")).otherwise(F.get("grid", left)).alias("lo"),
-        F.when(right >= _CELLS, F.col("hi")).otherwise(F.get("grid", right)).alias("hi"),
-    )
-    cut = stage(cut, "intervals").frame
-    rows = _rows_up_to(long, cut, group)
-    within = F.col("value") >= F.col("lo")
-    counted = rows.groupBy(*[col(k) for k in kept], "lo", "hi").agg(
-        F.count_if(~within).alias("below"),
-        F.count_if(within).alias("inside"),
-        F.approx_count_distinct(F.when(within, F.col("value"))).alias("different"),
-        F.percentile_approx(
-            F.when(within, F.col("value")),
-            F.array(*[F.lit(i / _CELLS) for i in range(_CELLS + 1)]),
-            10_000,
-        ).alias("grid"),
-    )
-    return counted
+    by, columns = list(by), list(columns)
+    with scope(df.sparkSession) as keep:
+        bounds = stage(_intervals(df, columns, positions, by, accuracy), "intervals")
+        joined = _with_intervals(df, bounds, columns, len(positions), by)
+        targets = bounds.frame.join(_below(joined, columns, len(positions), by), "_group").select(
+            *[col(b) for b in by], "_group", F.inline("_targets"), "_below"
+        )
+        targets = stage(targets.withColumn("_below", F.get("_below", F.col("_slot"))).where("position >= 0 AND position <= n - 1"), "targets").frame
+        picked = _pick(_entries(joined, columns, len(positions)), targets)
+        names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(i), F.lit(c))])
+        out = picked.select(*[col(b) for b in by], names[F.col("_measure")].alias("measure"), "target", "n", "below", "found")
+        return keep(stage(out, "positions"))
 
 
-def _rows_up_to(long: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
-    same = [long[g].eqNullSafe(targets[g]) for g in group]
-    return long.join(targets, same + [long["value"] <= targets["hi"]]).select(
-        *[targets[c] for c in targets.columns], long["value"]
+def _intervals(df: DataFrame, columns: list[str], positions, by: list[str], accuracy: int) -> DataFrame:
+    """Per group a number, and all targets with their position and interval (lo, hi)."""
+    cells = F.array(*[F.lit(i / _CELLS) for i in range(_CELLS + 1)])
+    sketches = [
+        F.struct(F.count(col(c)).alias("n"), F.percentile_approx(col(c).cast("double"), cells, accuracy).alias("grid")).alias(f"_sketch_{i}")
+        for i, c in enumerate(columns)
+    ]
+    summary = df.groupBy(*[col(b) for b in by]).agg(*sketches)
+    targets = []
+    for i in range(len(columns)):
+        n, grid = F.col(f"_sketch_{i}.n"), F.col(f"_sketch_{i}.grid")
+        for t, position in enumerate(positions):
+            at = position(n).cast("double")
+            # One cell of margin on each side covers the error of the sketch.
+            left = F.greatest(F.floor(F.floor(at) * _CELLS / n) - 1, F.lit(0)).cast("int")
+            right = F.least(F.ceil((F.ceil(at) + 1) * _CELLS / n) + 1, F.lit(_CELLS)).cast("int")
+            targets.append(
+                F.struct(
+                    F.lit(i * len(positions) + t).alias("_slot"),
+                    F.lit(i).alias("_measure"),
+                    F.lit(t).alias("target"),
+                    n.alias("n"),
+                    at.alias("position"),
+                    F.when(n > 0, F.get(grid, left)).alias("lo"),
+                    F.when(n > 0, F.get(grid, right)).alias("hi"),
+                )
+            )
+    return summary.select(*[col(b) for b in by], F.monotonically_increasing_id().alias("_group"), F.array(*targets).alias("_targets"))
+
+
+def _with_intervals(df: DataFrame, bounds: Staged, columns: list[str], n_targets: int, by: list[str]) -> DataFrame:
+    """The measures with their group's intervals beside them: one table row per group, or constants."""
+    slots = range(len(columns) * n_targets)
+    if not by:
+        row = bounds.frame.first()
+        values = [(t["lo"], t["hi"]) for t in row["_targets"]] if row is not None else [(None, None)] * len(slots)
+        limits = [x for s in slots for x in (F.lit(values[s][0]).cast("double").alias(f"_lo_{s}"), F.lit(values[s][1]).cast("double").alias(f"_hi_{s}"))]
+        return df.select(F.lit(row["_group"] if row is not None else 0).alias("_group"), *[col(c).cast("double").alias(f"_value_{i}") for i, c in enumerate(columns)], *limits)
+    limits = [x for s in slots for x in (F.col("_targets")[s]["lo"].alias(f"_lo_{s}"), F.col("_targets")[s]["hi"].alias(f"_hi_{s}"))]
+    named = bounds.frame.select(*[col(b).alias(f"_by_{k}") for k, b in enumerate(by)], "_group", *limits)
+    same = [col(b).eqNullSafe(F.col(f"_by_{k}")) for k, b in enumerate(by)]
+    return df.join(named, same).select(
+        "_group", *[col(c).cast("double").alias(f"_value_{i}") for i, c in enumerate(columns)], *[f"_{side}_{s}" for s in slots for side in ("lo", "hi")]
     )
 
 
-def _pick(long: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
-    slim = targets.drop("grid", "different", "inside")
-    names = group + ["target"]
-    counts = (
-        _rows_up_to(long, slim, group)
-        .where("value >= lo")
-        .groupBy(*[col(k) for k in names], "n", "position", "below", "value")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    order = Window.partitionBy(*[col(k) for k in names]).orderBy("value")
-    upto = F.col("below") + F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto)
-    at_floor = (F.col("upto") > F.floor("position"))
-    at_ceil = (F.col("upto") > F.ceil("position"))
-    low = F.min(F.when(at_floor, F.col("value")))
-    high = F.min(F.when(at_ceil, F.col("value")))
-    part = F.col("position") - F.floor("position")
-    return (
-        ranked.groupBy(*[col(k) for k in names], "n", "position")
+def _below(joined: DataFrame, columns: list[str], n_targets: int, by: list[str]) -> DataFrame:
+    """Per group how many values lie under each interval."""
+    counts = [F.count_if(F.col(f"_value_{s // n_targets}") < F.col(f"_lo_{s}")) for s in range(len(columns) * n_targets)]
+    return joined.groupBy("_group").agg(F.array(*counts).alias("_below"))
+
+
+def _entries(joined: DataFrame, columns: list[str], n_targets: int) -> DataFrame:
+    """The values inside the intervals and how often each occurs."""
+    inside = []
+    for s in range(len(columns) * n_targets):
+        value = F.col(f"_value_{s // n_targets}")
+        inside.append(F.when(value.between(F.col(f"_lo_{s}"), F.col(f"_hi_{s}")), F.struct(F.lit(s).alias("_slot"), value.alias("value"))))
+    held = joined.select("_group", F.inline(F.array_compact(F.array(*inside))))
+    return held.groupBy("_group", "_slot", "value").agg(F.count("*").alias("times"))
+
+
+def _pick(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets with the value at their position and the number of values under it."""
+    key = ["_group", "_slot"]
+    ranged = stage(entries.repartitionByRange(*key, "value").withColumn("_part", F.spark_partition_id()), "entries").frame
+    sums = ranged.groupBy(*key, "_part").agg(F.sum("times").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum("times").over(Window.partitionBy("_part", *key).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    counted = ranged.withColumn("_within", within).join(offsets, ["_part", *key]).select(*key, "value", "times", (F.col("_before") + F.col("_within")).alias("_upto"))
+    upto = F.col("_below") + F.col("_upto")
+    at_floor, at_ceil = upto > F.floor("position"), upto > F.ceil("position")
+    found = (
+        counted.join(targets.select(*key, "position", "_below"), key)
+        .groupBy(*key)
         .agg(
-            low.alias("low"),
-            high.alias("high"),
-            F.min_by(F.col("upto") - F.col("times"), F.when(at_floor, F.col("value"))).alias("below"),
-        )
-        .select(
-            *[col(k) for k in names],
-            "n",
-            "below",
-            (F.col("low") + (F.col("high") - F.col("low")) * part).alias("found"),
+            F.min(F.when(at_floor, F.col("value"))).alias("_low"),
+            F.min(F.when(at_ceil, F.col("value"))).alias("_high"),
+            F.min_by(upto - F.col("times"), F.when(at_floor, F.col("value"))).alias("below"),
         )
     )
+    part = F.col("position") - F.floor("position")
+    return targets.join(found, key).withColumn("found", F.col("_low") + (F.col("_high") - F.col("_low")) * part)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import GRADES
 from ..functions.text import col, first_category
 from ..staging import stage
-from .order_statistics import DIRECT_ROWS, exact_quantiles, staged_columns
+from .order_statistics import exact_quantiles, staged_columns
 
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
@@ -127,7 +127,7 @@ def correlations(df: DataFrame, columns: Sequence[str], lower_triangle: bool = F
     return one.select(F.inline(sides), "correlation")
 
 
-def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """Per column count, mean, sample deviation, minimum, exact quartiles and maximum."""
     held = [c for c in columns if c in df.columns]
     data = staged_columns(df, held)
@@ -143,7 +143,7 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, direct_rows
             for c in held
         ]
     ).first()
-    quartiles = exact_quantiles(data, held, [0.25, 0.5, 0.75], direct_rows=direct_rows).first()
+    quartiles = exact_quantiles(data, held, [0.25, 0.5, 0.75]).first()
     rows = []
     for c in held:
         q = (quartiles[c] if quartiles is not None else None) or [None] * 3
@@ -155,11 +155,11 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, direct_rows
     return table.withColumns({c: F.round(c, digits) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 
-def box_statistics(df: DataFrame, by: str, columns: Sequence[str], fence: float = 1.5, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def box_statistics(df: DataFrame, by: str, columns: Sequence[str], fence: float = 1.5) -> DataFrame:
     """Per group and column the quartiles and the whiskers: the outermost values within the fences."""
     columns = list(columns)
     data = staged_columns(df.where(col(by).isNotNull()), columns, [by])
-    quartiles = exact_quantiles(data, columns, [0.25, 0.5, 0.75], [by], direct_rows)
+    quartiles = exact_quantiles(data, columns, [0.25, 0.5, 0.75], [by])
     boxes = stage(quartiles.select(col(by).alias("_group"), *[col(c).alias(f"_{c}") for c in columns]), "quartiles").frame
     joined = data.frame.join(boxes, col(by) == F.col("_group"))
     aggregates = []

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from ..constants import FEATURES, GRADES, NUTRIENTS, REGION_PATTERN
 from ..operators import cleaning as step
 from ..operators.dedup import first_per_key
-from ..operators.order_statistics import DIRECT_ROWS
 from ..operators.sampling import first_rows
 from ..staging import Staged, stage
 
@@ -53,7 +52,7 @@ def _staged(df: DataFrame, source: DataFrame, name: str) -> Staged:
     return data
 
 
-def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES, direct_rows: int = DIRECT_ROWS) -> Cleaned:
+def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """First row per code before any validity rule; clip; group medians; title-case brands."""
     source = df
     df = first_per_key(df, [key], order_by)
@@ -61,21 +60,21 @@ def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", feat
     df = step.keep_domain(step.normalize_grades(df), GRADE, GRADES)
     columns = step.present(df, features)
     data = _staged(step.parse_numbers(df, columns), source, "strict")
-    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows))
-    out = step.fill_group_median(data.derive(clipped), GRADE, columns, direct_rows)
+    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns))
+    out = step.fill_group_median(data.derive(clipped), GRADE, columns)
     out = step.add_label(step.default_texts(step.parse_counts(out)))
     return Cleaned(out, source, data)
 
 
-def clean_basic(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES, direct_rows: int = DIRECT_ROWS) -> Cleaned:
+def clean_basic(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """Grades as written; clip; global medians; rows without label stay."""
     source = df
     df = first_per_key(df, [key], order_by)
     df = step.keep_domain(step.drop_missing(df, [NAME]), GRADE, GRADES)
     columns = step.present(df, features)
     data = _staged(step.parse_numbers(df, columns), source, "basic")
-    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows))
-    out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns, direct_rows))
+    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns))
+    out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns))
     out = step.add_label(out, drop_unknown=False)
     if "additives_n" in out.columns:
         out = step.fill_values(out, {"additives_n": 0.0})
@@ -89,7 +88,6 @@ def clean_region(
     features: Sequence[str] = FEATURES,
     pattern: str = REGION_PATTERN,
     max_rows: int | None = None,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Products of some regions; no clipping; group medians; de-duplicated last, on name and brand."""
     df = step.drop_missing(step.keep_regions(df, pattern=pattern), [GRADE, NAME])
@@ -98,12 +96,12 @@ def clean_region(
         df = first_rows(df, max_rows, order_by)
     columns = step.present(df, features)
     data = stage(step.parse_numbers(step.normalize_grades(df), columns), "region")
-    out = step.fill_group_median(data, GRADE, columns, direct_rows)
+    out = step.fill_group_median(data, GRADE, columns)
     out = step.add_label(step.parse_counts(out))
     return first_per_key(out, keys, order_by)
 
 
-def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = NUTRIENTS, direct_rows: int = DIRECT_ROWS) -> Cleaned:
+def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = NUTRIENTS) -> Cleaned:
     """Validity rules first, then one row per code; clip; global medians; brands only stripped."""
     source = df
     df = step.drop_missing(step.keep_domain(df, GRADE, GRADES), [NAME])
@@ -111,7 +109,7 @@ def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", featu
         df = first_per_key(df, [key], order_by)
     columns = step.present(df, features)
     data = _staged(step.parse_numbers(df, columns), source, "batch")
-    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns, direct_rows=direct_rows), swap=False)
-    out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns, direct_rows))
+    clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns), swap=False)
+    out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns))
     out = step.add_label(step.parse_counts(out), drop_unknown=False)
     return Cleaned(step.default_texts(out, category=None, title=False), source, data)

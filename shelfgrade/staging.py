@@ -5,18 +5,28 @@ loops: the passes read narrow columns of a finished table instead of repeating t
 shuffle above it, lineage is cut, and the loss of an executor costs a re-read only.
 The size of the files is what Spark compares with ``spark.sql.autoBroadcastJoinThreshold``,
 so a staged side is broadcast only when its measured size allows it.
+
+``scope`` drops what was staged inside it, but for what is kept; operators use it for their
+intermediate tables, and a caller who is done with a result uses it for the result as well:
+
+    with scope(spark):
+        find_substitutes(products, tie_break=["code"]).write.parquet(path)
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +43,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if scopes := _open_scopes.get():
+        scopes[-1].append(path)
+    return path
 
 
 @dataclass(frozen=True)
@@ -65,3 +78,29 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator:
+    """Release what is staged inside, also after an error. The value is a function that keeps
+    staged tables: they pass to the scope around, if any."""
+    own: list[str] = []
+    kept: list[str] = []
+    token = _open_scopes.set((*_open_scopes.get(), own))
+
+    def keep(staged: Staged) -> DataFrame:
+        kept.append(staged.path)
+        return staged.frame
+
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        _open_scopes.reset(token)
+        stays = set(kept) if done else set()
+        if scopes := _open_scopes.get():
+            scopes[-1].extend(stays)
+        for path in own:
+            if path not in stays:
+                release(spark, path)

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from shelfgrade.operators import sampling
 from shelfgrade.operators.order_statistics import exact_quantiles, staged_columns
@@ -25,16 +25,14 @@ def data(spark, skewed):
     return staged_columns(spark.createDataFrame(rows, "g string, hot double, sparse double"), ["hot", "sparse"], ["g"])
 
 
-@pytest.mark.parametrize("direct_rows", [10_000, 300])
-def test_global_quantiles(data, skewed, direct_rows):
-    got = exact_quantiles(data, ["hot", "sparse"], PROBS, direct_rows=direct_rows).first()
+def test_global_quantiles(data, skewed):
+    got = exact_quantiles(data, ["hot", "sparse"], PROBS).first()
     assert np.allclose(got["hot"], np.quantile(skewed[0], PROBS))
     assert np.allclose(got["sparse"], np.nanquantile(skewed[1], PROBS))
 
 
-@pytest.mark.parametrize("direct_rows", [10_000, 300])
-def test_group_quantiles(data, skewed, direct_rows):
-    got = {r["g"]: r for r in exact_quantiles(data, ["hot", "sparse"], PROBS, ["g"], direct_rows).collect()}
+def test_group_quantiles(data, skewed):
+    got = {r["g"]: r for r in exact_quantiles(data, ["hot", "sparse"], PROBS, ["g"]).collect()}
     assert set(got) == {"big", "mid", "low", None}
     hot, sparse, group = skewed
     for g, row in got.items():
@@ -43,10 +41,9 @@ def test_group_quantiles(data, skewed, direct_rows):
         assert np.allclose(row["sparse"], np.nanquantile(sparse[mask], PROBS))
 
 
-@pytest.mark.parametrize("direct_rows", [10_000, 1])
-def test_column_without_values(spark, direct_rows):
+def test_column_without_values(spark):
     empty = staged_columns(spark.createDataFrame([("a", None, 1.0), ("a", None, 2.0)], "g string, v double, w double"), ["v", "w"], ["g"])
-    row = exact_quantiles(empty, ["v", "w"], [0.5], ["g"], direct_rows).first()
+    row = exact_quantiles(empty, ["v", "w"], [0.5], ["g"]).first()
     assert row["v"] is None and row["w"] == [1.5]
 
 
@@ -59,24 +56,25 @@ def rows(spark):
     return df
 
 
-def test_split_is_the_same_for_large_tables(rows):
-    small = sampling.stratified_split(rows, "label", "key")
-    large = sampling.stratified_split(rows, "label", "key", direct_rows=200)
-    assert large.columns == small.columns
-    assert sorted(small.collect()) == sorted(large.collect())
-    shares = {r["label"]: r["n"] for r in large.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()}
+def test_split_takes_the_first_of_each_class(rows):
+    split = sampling.stratified_split(rows, "label", "key")
+    assert split.columns == [*rows.columns, "is_test"]
+    place, digest = sampling.shuffled("key", sampling.SPLIT_SEED)
+    of_class = Window.partitionBy("label").orderBy(place, digest, "key")
+    want = rows.withColumn("rank", F.row_number().over(of_class)).where("rank <= CASE label WHEN 'hot' THEN 600 WHEN 'tiny' THEN 1 ELSE 399 END")
+    assert sorted(r.key for r in split.where("is_test").collect()) == sorted(r.key for r in want.collect())
+    shares = {r["label"]: r["n"] for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert shares == {"hot": 600, "other": 399, "tiny": 1}
 
 
 def test_sample_is_exact_and_repeatable(rows):
-    # Above the size of a plain top-k, found directly and through the cut.
     many = rows.crossJoin(rows.sparkSession.range(4).select(F.col("id").alias("copy"))).withColumn("key", F.concat("key", F.lit("-"), "copy"))
     a = sampling.sample_rows(many, 12_000, "key")
-    b = sampling.sample_rows(many, 12_000, "key", direct_rows=2000)
+    b = sampling.sample_rows(many, 12_000, "key")
     assert a.count() == 12_000
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     assert sampling.sample_rows(rows, 12_000, "key").count() == 5000
-    first = sampling.first_rows(many, 11_000, ["lead", "key"], direct_rows=2000)
+    first = sampling.first_rows(many, 11_000, ["lead", "key"])
     assert first.count() == 11_000
     assert first.exceptAll(many.orderBy("lead", "key").limit(11_000)).isEmpty()
 
