@@ -182,7 +182,7 @@ def json_flatten_product(spark, folder):
 def param_sql(spark, folder):
     return run_sql(
         spark,
-        f"SELECT {ORDER}, code, energy_100g FROM products WHERE contains(lower(product_name), :term) AND nutriscore_grade = :grade AND energy_100g > :least",
+        f"SELECT {ORDER}, code, energy_100g FROM {{products}} WHERE contains(lower(product_name), :term) AND nutriscore_grade = :grade AND energy_100g > :least",
         {"term": "ring", "grade": "b", "least": 50000.0},
         products=views.products(spark, folder),
     )

@@ -42,8 +42,7 @@ def _messages(spark, folder):
 
 
 def _catalogue(spark, folder):
-    views.register(spark, folder, ("documents",))
-    return spark.sql(DOC_CATALOGUE)
+    return views.select(spark, folder, DOC_CATALOGUE, ("documents",))
 
 
 def _found(spark, folder):

@@ -9,7 +9,7 @@ from shelfgrade.operators import compare, search
 from shelfgrade.operators.dedup import first_per_key
 from shelfgrade.operators.substitutes import find_substitutes
 from shelfgrade.plans import views
-from shelfgrade.plans.sql import preset_sql, run_sql
+from shelfgrade.plans.sql import presets, run_preset, run_sql
 from shelfgrade.plans.views import ROW
 from shelfgrade.sources import payloads
 from shelfgrade.staging import stage
@@ -103,43 +103,44 @@ def lookup_batch(spark, folder):
 
 # ---- preset SQL ----
 
-def _preset(name):
-    sql = preset_sql(name, ROW)
+PRESET_SQL = {
+    "top_sugar": f"SELECT product_name, brands, nutriscore_grade, sugars_100g FROM products ORDER BY sugars_100g DESC NULLS LAST, {ORDER} LIMIT 10",
+    "grade_dist": "SELECT nutriscore_grade, count(*) AS n FROM products GROUP BY nutriscore_grade",
+    "no_additives": f"SELECT product_name, brands, energy_100g FROM products WHERE additives_n = 0 AND nutriscore_grade = 'a' ORDER BY {ORDER} LIMIT 20",
+    "worst_brands": "SELECT brands, count(*) AS n_bad FROM products WHERE nutriscore_grade = 'e' GROUP BY brands ORDER BY n_bad DESC, brands LIMIT 10",
+    "high_fiber": f"SELECT product_name, fiber_100g, nutriscore_grade FROM products WHERE fiber_100g > 5 ORDER BY fiber_100g DESC NULLS LAST, {ORDER} LIMIT 15",
+}
+
 
+def _preset(name):
     def run(spark, folder):
-        return run_sql(spark, sql, products=views.products(spark, folder))
+        return run_preset(views.products(spark, folder), presets()[name], ROW)
 
-    query(f"sql_{name}", WITH_PRODUCTS + sql)(run)
+    query(f"sql_{name}", WITH_PRODUCTS + PRESET_SQL[name])(run)
 
 
-for _name in ("top_sugar", "grade_dist", "no_additives", "worst_brands", "high_fiber"):
+for _name in PRESET_SQL:
     _preset(_name)
 
 
 @query(
     "sql_presets",
     WITH_PRODUCTS + "SELECT nutriscore_grade, count(*) AS n, CAST(0 AS BIGINT) AS failed FROM products WHERE additives_n = 0 AND fiber_100g > 5 GROUP BY nutriscore_grade"
-    " UNION ALL SELECT 'error' AS nutriscore_grade, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS failed",
+    " UNION ALL SELECT 'error' AS nutriscore_grade, CAST(0 AS BIGINT) AS n, CAST(2 AS BIGINT) AS failed",
 )
 def sql_presets(spark, folder):
-    # A correct query, and a faulty one that answers with an error row.
+    # A correct query, one that cannot be planned, and one that fails while it runs.
     products = views.products(spark, folder)
     good = run_sql(
-        spark, "SELECT nutriscore_grade, count(*) AS n FROM products WHERE additives_n = :none AND fiber_100g > :least GROUP BY nutriscore_grade",
+        spark, "SELECT nutriscore_grade, count(*) AS n FROM {products} WHERE additives_n = :none AND fiber_100g > :least GROUP BY nutriscore_grade",
         {"none": 0, "least": 5.0}, products=products,
     )
-    bad = run_sql(spark, "SELECT no_such_column FROM products", products=products)
-    failed = bad.select(F.lit("error").alias("nutriscore_grade"), F.lit(0).cast("long").alias("n"), F.count_if(F.col("error").isNotNull()).over(_all()).alias("failed"))
+    bad = run_sql(spark, "SELECT no_such_column FROM {products}", products=products)
+    worse = run_sql(spark, "SELECT 1 / (l_linenumber - 1) AS x FROM {products}", products=products)
+    failed = bad.unionByName(worse).agg(F.count("error").alias("failed")).select(F.lit("error").alias("nutriscore_grade"), F.lit(0).cast("long").alias("n"), "failed")
     return good.withColumn("failed", F.lit(0).cast("long")).unionByName(failed)
 
 
-def _all():
-    from pyspark.sql import Window
-
-    # One error row.
-    return Window.partitionBy(F.lit(1))
-
-
 # ---- substitutes ----
 
 CARRIED = ["code", "sugars_100g", "salt_100g"]

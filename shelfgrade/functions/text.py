@@ -53,9 +53,14 @@ def contains(c, term) -> Column:
 
 
 def contains_any(c, terms) -> Column:
-    """True where any of the terms occurs, false where none does or the text is missing."""
+    """True where any of the terms occurs, false where none does or the text is missing.
+
+    Empty terms say nothing and are passed over; without a term nothing occurs.
+    """
     # One pass with one alternation: a chain of contains() would lower-case the text per term.
-    alternation = "|".join(re.escape(t.lower()) for t in terms)
+    alternation = "|".join(re.escape(t.lower()) for t in terms if t)
+    if not alternation:
+        return F.lit(False)
     return F.coalesce(F.lower(col(c)), F.lit("")).rlike(alternation)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..constants import ALLERGENS
 from ..functions.text import col, contains, contains_any
-from ..schema import select_available
 
 
 def search(
@@ -60,22 +59,30 @@ def any_column_contains(df: DataFrame, columns: Sequence[str], term: str) -> Dat
     return df.where(found)
 
 
-def lookup_key(df: DataFrame, key: str, value, tie_break: Sequence[str] = ()) -> DataFrame:
-    """The row of a key, at most one."""
-    found = df.where(col(key) == F.lit(str(value)))
-    return found.orderBy(*[col(t) for t in tie_break]).limit(1) if tie_break else found.limit(1)
+def lookup_key(df: DataFrame, key: str, value, tie_break: Sequence[str]) -> DataFrame:
+    """The row of a key, at most one: the first by ``tie_break``."""
+    return df.where(col(key) == F.lit(str(value))).orderBy(*[col(t) for t in tie_break]).limit(1)
 
 
 def lookup_many(wanted: DataFrame, local: DataFrame, fallback: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """A row per wanted key from the local table, or else from the fallback table, or else nulls.
 
-    Both tables hold one row per key. ``found_in`` says which one answered.
+    Both tables hold one row per key. ``found_in`` says which one answered. Each table is joined once, on
+    the same key, and the answer is picked per row.
     """
     keys = wanted.select(col(key)).distinct()
-    here = select_available(local, [key, *columns]).withColumn("found_in", F.lit("local"))
-    there = select_available(fallback, [key, *columns]).withColumn("found_in", F.lit("payload"))
-    answered = keys.join(here, key, "left")
-    missing = answered.where(F.col("found_in").isNull()).select(key)
-    return answered.where(F.col("found_in").isNotNull()).unionByName(
-        missing.join(there, key, "left"), allowMissingColumns=True
-    )
+
+    def side(df, name):
+        held = [c for c in columns if c in df.columns]
+        return df.select(col(key), F.struct(F.lit(name).alias("found_in"), *[col(c) for c in held]).alias(name)), held
+
+    (here, in_local), (there, in_fallback) = side(local, "local"), side(fallback, "payload")
+    joined = keys.join(here, key, "left").join(there, key, "left")
+
+    def answer(c):
+        one = F.col(f"local.`{c}`") if c in in_local else F.lit(None)
+        two = F.col(f"payload.`{c}`") if c in in_fallback else F.lit(None)
+        return F.when(F.col("local").isNotNull(), one).otherwise(two)
+
+    shown = [c for c in columns if c in in_local or c in in_fallback]
+    return joined.select(col(key), *[answer(c).alias(c) for c in shown], F.coalesce("local.found_in", "payload.found_in").alias("found_in"))

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..constants import FEATURES, GRADES, NUTRIENTS, REGION_PATTERN
 from ..operators import cleaning as step
 from ..operators.dedup import first_per_key
 from ..operators.sampling import first_rows
-from ..staging import Staged, stage
+from ..staging import Staged, release, stage
 
 GRADE = "nutriscore_grade"
 NAME = "product_name"
@@ -25,17 +25,14 @@ NAME = "product_name"
 
 @dataclass(frozen=True)
 class Cleaned:
-    """A cleaned table. The figures are counted when they are asked for: the kept rows from the
-    footers of the written files, the read rows from the source."""
+    """A cleaned table. The read rows are counted by the job that writes the kept ones, whose number
+    is in the footers of the written files. The table reads staged data: use it inside a ``scope``,
+    or drop the data with ``release`` when done."""
 
     frame: DataFrame
-    source: DataFrame
+    rows_read: int
     data: Staged
 
-    @cached_property
-    def rows_read(self) -> int:
-        return self.source.count()
-
     @property
     def rows_kept(self) -> int:
         return self.data.rows
@@ -44,41 +41,51 @@ class Cleaned:
     def rows_removed(self) -> int:
         return self.rows_read - self.rows_kept
 
+    def release(self) -> None:
+        release(self.frame.sparkSession, self.data.path)
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
 
-def _staged(df: DataFrame, source: DataFrame, name: str) -> Staged:
+def _staged(df: DataFrame, seen: Observation, name: str) -> tuple[Staged, int]:
     data = stage(df, name)
-    if data.rows == 0 and source.isEmpty():
+    rows_read = seen.get.get("rows", 0)
+    if not rows_read:
+        release(df.sparkSession, data.path)
         raise ValueError("no products to clean")
-    return data
+    return data, rows_read
 
 
 def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """First row per code before any validity rule; clip; group medians; title-case brands."""
-    source = df
+    df, seen = _observed(df)
     df = first_per_key(df, [key], order_by)
     df = step.drop_missing(df, [NAME])
     df = step.keep_domain(step.normalize_grades(df), GRADE, GRADES)
     columns = step.present(df, features)
-    data = _staged(step.parse_numbers(df, columns), source, "strict")
+    data, rows_read = _staged(step.parse_numbers(df, columns), seen, "strict")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns))
     out = step.fill_group_median(data.derive(clipped), GRADE, columns)
     out = step.add_label(step.default_texts(step.parse_counts(out)))
-    return Cleaned(out, source, data)
+    return Cleaned(out, rows_read, data)
 
 
 def clean_basic(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """Grades as written; clip; global medians; rows without label stay."""
-    source = df
+    df, seen = _observed(df)
     df = first_per_key(df, [key], order_by)
     df = step.keep_domain(step.drop_missing(df, [NAME]), GRADE, GRADES)
     columns = step.present(df, features)
-    data = _staged(step.parse_numbers(df, columns), source, "basic")
+    data, rows_read = _staged(step.parse_numbers(df, columns), seen, "basic")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns))
     out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns))
     out = step.add_label(out, drop_unknown=False)
     if "additives_n" in out.columns:
         out = step.fill_values(out, {"additives_n": 0.0})
-    return Cleaned(step.default_texts(out), source, data)
+    return Cleaned(step.default_texts(out), rows_read, data)
 
 
 def clean_region(
@@ -103,13 +110,13 @@ def clean_region(
 
 def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = NUTRIENTS) -> Cleaned:
     """Validity rules first, then one row per code; clip; global medians; brands only stripped."""
-    source = df
+    df, seen = _observed(df)
     df = step.drop_missing(step.keep_domain(df, GRADE, GRADES), [NAME])
     if key in df.columns:
         df = first_per_key(df, [key], order_by)
     columns = step.present(df, features)
-    data = _staged(step.parse_numbers(df, columns), source, "batch")
+    data, rows_read = _staged(step.parse_numbers(df, columns), seen, "batch")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns), swap=False)
     out = step.fill_values(clipped, step.global_medians(data.derive(clipped), columns))
     out = step.add_label(step.parse_counts(out), drop_unknown=False)
-    return Cleaned(step.default_texts(out, category=None, title=False), source, data)
+    return Cleaned(step.default_texts(out, category=None, title=False), rows_read, data)

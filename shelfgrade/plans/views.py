@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -56,11 +58,6 @@ FROM ({PRODUCTS}) AS products
 """
 
 
-def register(spark: SparkSession, folder: str, tables=TABLES) -> None:
-    for name in tables:
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -74,5 +71,11 @@ def raw_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _derived(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    register(spark, folder, ("lineitem", "part"))
-    return spark.sql(text)
+    return select(spark, folder, text, ("lineitem", "part"))
+
+
+def select(spark: SparkSession, folder: str, text: str, tables) -> DataFrame:
+    """Answer of a query over the folder's tables; no view of the session is made or replaced."""
+    for name in tables:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}} AS {name}", text)
+    return spark.sql(text, **{name: table(spark, folder, name) for name in tables})

@@ -123,9 +123,11 @@ def test_search_criteria(spark):
     assert codes(search.search(df, "50%", "SNACK", "B")) == ["1"]
     assert codes(search.search(df, exclude=["Milk", "sugar"])) == ["1", "4"]
     assert codes(search.search(df, limit=2)) == ["1", "2"]
+    assert codes(search.exclude_terms(df, ["", "milk"], "ingredients_text")) == ["1", "3", "4"]
+    assert codes(search.exclude_terms(df, [""], "ingredients_text")) == ["1", "2", "3", "4"]
     assert codes(search.exclude_groups(df, ["Lactose"], "ingredients_text")) == ["1", "3", "4"]
     assert codes(search.any_column_contains(df, ["product_name", "categories_en"], "SNACK")) == ["1", "2", "4"]
-    assert codes(search.lookup_key(df, "code", "3")) == ["3"]
+    assert codes(search.lookup_key(df, "code", "3", ["code"])) == ["3"]
 
 
 CATALOGUE = "code string, product_name string, brands string, nutriscore_grade string, energy_100g double, sugars_100g double, salt_100g double, fat_100g double, proteins_100g double, additives_n int"

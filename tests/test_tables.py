@@ -163,9 +163,10 @@ def test_replace_table_counts(spark, folder):
 
 def test_faulty_sql_answers_with_an_error_row(spark):
     df = spark.range(3)
-    assert run_sql(spark, "SELECT count(*) AS n FROM products WHERE id > :least", {"least": 0}, products=df).first()["n"] == 2
-    for bad in ("SELECT nope FROM products", "SELEC 1"):
+    assert run_sql(spark, "SELECT count(*) AS n FROM {products} WHERE id > :least", {"least": 0}, products=df).first()["n"] == 2
+    for bad in ("SELECT nope FROM {products}", "SELEC 1", "SELECT 1 / (id - 1) AS x FROM {products}"):
         assert run_sql(spark, bad, products=df).columns == ["error"]
+    assert not [t.name for t in spark.catalog.listTables() if t.isTemporary]
 
 
 # ---- evaluation and models ----
