@@ -86,12 +86,12 @@ def format_paths(paths: DataFrame, replies: DataFrame) -> DataFrame:
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = replies.select("tree", "node", (role == "assistant").alias("loss"), _escape_role(role).alias("role"), escape(text).alias("text"))
-    piece = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n"))
+    piece = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n")).alias("piece")
+    size = F.length("role") + F.length("text") + len(START) + len(END) + 2
     # The path is summed up in order, so that a turn knows where it starts in the conversation.
     so_far = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = paths.join(turns, ["tree", "node"]).withColumn("piece", piece)
-    placed = placed.withColumn("end", F.sum(F.length("piece")).over(so_far) - len(END) - 1)
-    one = F.struct((-F.col("up")).alias("at"), "piece", "loss", (F.col("end") - F.length("text")).alias("start"), "end")
+    placed = paths.select("tree", "leaf", "node", "up").join(turns, ["tree", "node"]).withColumn("end", F.sum(size).over(so_far) - len(END) - 1)
+    one = F.struct((-F.col("up")).alias("at"), piece, "loss", (F.col("end") - F.length("text")).alias("start"), "end")
     gathered = placed.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     numbered = F.transform("turns", lambda t, i: F.struct(t["loss"].alias("loss"), i.alias("turn"), t["start"].alias("start"), t["end"].alias("end")))
     spans = F.transform(F.filter(numbered, lambda t: t["loss"]), lambda t: F.struct(t["turn"].alias("turn"), t["start"].alias("start"), t["end"].alias("end")))
