@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from shelfgrade.constants import FEATURES
+from shelfgrade.constants import FEATURES, GRADES
 from shelfgrade.functions.grades import describe_grade
 from shelfgrade.operators import evaluation, learning, sampling, statistics
 from shelfgrade.plans import views
@@ -14,7 +14,9 @@ from shelfgrade.plans.views import ROW
 
 from .registry import ORDER, WITH_PRODUCTS, WITH_RAW, query, rounded
 
-GRADE_TABLE = "(VALUES ('a'), ('b'), ('c'), ('d'), ('e')) AS v(nutriscore_grade)"
+# A grade that no row has counts zero in every report.
+SIX = (*GRADES, "f")
+GRADE_TABLE = "(VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')) AS v(nutriscore_grade)"
 
 
 @query(
@@ -51,12 +53,12 @@ def dashboard_kpis(spark, folder):
 
 @query(
     "grade_dist_zero_fill",
-    WITH_PRODUCTS + ", c AS (SELECT nutriscore_grade AS g, count(*) AS n FROM products WHERE product_name LIKE 'red%' AND nutriscore_grade <> 'c' GROUP BY nutriscore_grade)"
+    # No row has grade f.
+    WITH_PRODUCTS + ", c AS (SELECT nutriscore_grade AS g, count(*) AS n FROM products GROUP BY nutriscore_grade)"
     + f" SELECT nutriscore_grade, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0 / greatest((SELECT sum(n) FROM c), 1), 6) AS percent FROM {GRADE_TABLE} LEFT JOIN c ON g = nutriscore_grade",
 )
 def grade_dist_zero_fill(spark, folder):
-    some = views.products(spark, folder).where("product_name LIKE 'red%' AND nutriscore_grade <> 'c'")
-    return rounded(statistics.domain_counts(some), "percent")
+    return rounded(statistics.domain_counts(views.products(spark, folder), domain=SIX), "percent")
 
 
 @query("top_bad_brands", WITH_PRODUCTS + "SELECT brands, count(*) AS n FROM products WHERE nutriscore_grade IN ('d', 'e') GROUP BY brands ORDER BY n DESC, brands LIMIT 15")
@@ -66,12 +68,13 @@ def top_bad_brands(spark, folder):
 
 @query(
     "avg_by_top_category",
-    WITH_PRODUCTS + "SELECT trim(split_part(categories_en, ',', 1)) AS category, round(avg(ascii(nutriscore_grade) - 97), 6) AS avg_label, count(*) AS n FROM products WHERE categories_en IS NOT NULL GROUP BY 1 ORDER BY n DESC, category LIMIT 4",
+    WITH_PRODUCTS + ", c AS (SELECT trim(split_part(categories_en, ',', 1)) AS category, avg(ascii(nutriscore_grade) - 97) AS m, count(*) AS n FROM products WHERE categories_en IS NOT NULL GROUP BY 1 ORDER BY n DESC, category LIMIT 10)"
+    " SELECT category, round(m, 6) AS avg_label, n, CAST(row_number() OVER (ORDER BY m, category) AS INT) AS rank FROM c",
 )
 def avg_by_top_category(spark, folder):
     from shelfgrade.operators.cleaning import add_label
 
-    return rounded(statistics.top_categories(add_label(views.products(spark, folder)), k=4), "avg_label")
+    return rounded(statistics.top_categories(add_label(views.products(spark, folder)), k=10), "avg_label")
 
 
 def _cells():
@@ -95,9 +98,6 @@ def corr_lower(spark, folder):
     return statistics.correlations(views.products(spark, folder), FEATURES, lower_triangle=True)
 
 
-BOXED = ("additives_n", "energy_100g", "fat_100g", "fiber_100g", "salt_100g")
-
-
 def _box(c):
     return (
         f"SELECT nutriscore_grade, '{c}' AS measure, round(CAST(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)) AS DOUBLE), 6) AS whisker_low,"
@@ -107,9 +107,9 @@ def _box(c):
     )
 
 
-@query("box_stats", WITH_PRODUCTS + " UNION ALL ".join(_box(c) for c in BOXED))
+@query("box_stats", WITH_PRODUCTS + " UNION ALL ".join(_box(c) for c in FEATURES))
 def box_stats(spark, folder):
-    boxes = statistics.box_statistics(views.products(spark, folder), "nutriscore_grade", BOXED)
+    boxes = statistics.box_statistics(views.products(spark, folder), "nutriscore_grade", FEATURES)
     return rounded(boxes, "whisker_low", "q1", "median", "q3", "whisker_high")
 
 
@@ -125,12 +125,14 @@ def describe_stats(spark, folder):
     return statistics.describe(views.products(spark, folder), FEATURES)
 
 
-NULLABLE = ("product_name", "brands", "categories_en", "nutriscore_grade", "energy_100g", "fiber_100g", "salt_100g")
+RAW_COLUMNS = (
+    *ROW, "code", "product_name", "brands", "categories_en", "countries_en", "ingredients_text", "nutriscore_grade", *FEATURES,
+)
 
 
-@query("null_counts", WITH_RAW + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM raw" for c in NULLABLE) + ") WHERE n_null > 0")
+@query("null_counts", WITH_RAW + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM raw" for c in RAW_COLUMNS) + ") WHERE n_null > 0")
 def null_counts(spark, folder):
-    return statistics.null_counts(views.raw_products(spark, folder).select(*NULLABLE))
+    return statistics.null_counts(views.raw_products(spark, folder))
 
 
 # ---- top lists ----
@@ -198,16 +200,13 @@ def plain_split(spark, folder):
     return sampling.plain_split(_identified(spark, folder), "row_id")
 
 
-SCALED = ("fat_100g", "sugars_100g", "salt_100g", "additives_n")
-
-
 @query(
     "standardize",
-    WITH_PRODUCTS + f", s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in SCALED)} FROM products) SELECT {ORDER}, "
-    + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in SCALED) + " FROM products, s",
+    WITH_PRODUCTS + f", s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM products) SELECT {ORDER}, "
+    + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in FEATURES) + " FROM products, s",
 )
 def standardize(spark, folder):
-    return rounded(learning.standardize(views.products(spark, folder).select(*ROW, *SCALED), SCALED), *SCALED)
+    return rounded(learning.standardize(views.products(spark, folder).select(*ROW, *FEATURES), FEATURES), *FEATURES)
 
 
 @query(
@@ -228,15 +227,14 @@ def ml_features(spark, folder):
 
 GUESS = "CASE WHEN additives_n < 2 THEN nutriscore_grade WHEN fat_100g < 20 THEN 'b' WHEN fat_100g < 45 THEN 'd' ELSE 'a' END"
 COUNTED = (
-    WITH_PRODUCTS + f", g AS (SELECT nutriscore_grade AS a, {GUESS} AS p FROM products WHERE nutriscore_grade <> 'e')"
-    + ", d AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS x)"
+    WITH_PRODUCTS + f", g AS (SELECT nutriscore_grade AS a, {GUESS} AS p FROM products)"
+    + ", d AS (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS x)"
     + ", m AS (SELECT d1.x AS actual, d2.x AS predicted, (SELECT count(*) FROM g WHERE a = d1.x AND p = d2.x) AS n FROM d d1, d d2)"
 )
 
 
 def _guessed(spark, folder):
-    rows = views.products(spark, folder).where("nutriscore_grade <> 'e'")
-    return rows.select("nutriscore_grade", F.expr(GUESS).alias("guess"))
+    return views.products(spark, folder).select("nutriscore_grade", F.expr(GUESS).alias("guess"))
 
 
 @query(
@@ -244,7 +242,7 @@ def _guessed(spark, folder):
     COUNTED + " SELECT actual, predicted, n, CASE WHEN sum(n) OVER (PARTITION BY actual) > 0 THEN round(n * 100.0 / sum(n) OVER (PARTITION BY actual), 6) ELSE 0.0 END::DOUBLE AS percent FROM m",
 )
 def confusion_matrix(spark, folder):
-    return rounded(evaluation.confusion_matrix(_guessed(spark, folder), "nutriscore_grade", "guess"), "percent")
+    return rounded(evaluation.confusion_matrix(_guessed(spark, folder), "nutriscore_grade", "guess", SIX), "percent")
 
 
 @query(
@@ -260,7 +258,7 @@ def confusion_matrix(spark, folder):
     + " SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM r",
 )
 def classification_report(spark, folder):
-    matrix = evaluation.confusion_matrix(_guessed(spark, folder), "nutriscore_grade", "guess")
+    matrix = evaluation.confusion_matrix(_guessed(spark, folder), "nutriscore_grade", "guess", SIX)
     return rounded(evaluation.classification_report(matrix), "precision", "recall", "f1_score")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..staging import stage
+from ..staging import release, scope, stage
 from .dedup import first_per_key
 
 
@@ -54,34 +54,41 @@ def unique_on_any(new: DataFrame, existing: DataFrame, keys: Sequence[str], orde
     Rows are taken in order, so a row that was refused blocks nobody. Each round accepts the
     rows that come first among the open ones for all their keys, and refuses the open rows that
     share a key with an accepted one; the first open row is always decided.
+
+    The number of rounds is the length of the longest chain in which each row waits for the row
+    before it; with few conflicts it is two or three. Rounds are written tables, and accepted rows
+    are appended to one folder, so that neither lineage nor plan grows with the rounds. Rows
+    without a key are given one of their own, which is nobody else's, so that they spread.
     """
-    order = list(order_by)
+    place = F.struct(*[col(o) for o in order_by])
+    own = F.concat(F.lit("own "), F.to_json(place))
+    named = {key: f"_key_{k}" for k, key in enumerate(keys)}
     for key in keys:
         new = new.join(existing.select(col(key)).distinct(), key, "left_anti")
     columns = new.columns
-    open_ = stage(new, "open")
-    accepted: list[DataFrame] = []
-    while open_.rows:
-        rows = open_.frame
-        place = F.struct(*[col(o) for o in order])
-        marked = rows.withColumn("_place", place)
-        first = F.lit(True)
-        for key in keys:
-            leaders = rows.groupBy(col(key)).agg(F.min(place).alias(f"_first_{key}"))
-            marked = marked.join(leaders, key, "left")
-            # A missing key equals nothing.
-            first = first & (col(key).isNull() | (F.col("_place") == col(f"_first_{key}")))
-        decided = stage(marked.withColumn("_accepted", first).select(*columns, "_accepted"), "round").frame
-        winners = decided.where("_accepted").drop("_accepted")
-        accepted.append(winners)
-        rest = decided.where("NOT _accepted").drop("_accepted")
-        for key in keys:
-            rest = rest.join(winners.select(col(key)), key, "left_anti")
-        open_ = stage(rest.select(*columns), "open")
-    out = open_.frame.limit(0)
-    for part in accepted:
-        out = out.unionByName(part)
-    return out
+    spark = new.sparkSession
+    with scope(spark) as keep:
+        keyed = {name: F.when(col(key).isNotNull(), F.concat(F.lit("key "), col(key).cast("string"))).otherwise(own) for key, name in named.items()}
+        open_ = stage(new.withColumns({"_place": place, **keyed}), "open")
+        accepted = stage(open_.frame.select(*columns).limit(0), "accepted")
+        while open_.rows:
+            marked, first = open_.frame, F.lit(True)
+            for name in named.values():
+                # The minimum is taken in the map tasks first.
+                leaders = open_.frame.groupBy(name).agg(F.min("_place").alias(f"{name}_first"))
+                marked = marked.join(leaders, name)
+                first = first & (F.col("_place") == F.col(f"{name}_first"))
+            decided = stage(marked.withColumn("_accepted", first).select(*open_.frame.columns, "_accepted"), "round")
+            winners = decided.frame.where("_accepted")
+            winners.select(*columns).write.mode("append").parquet(accepted.path)
+            rest = decided.frame.where("NOT _accepted").drop("_accepted")
+            for name in named.values():
+                rest = rest.join(winners.select(name), name, "left_anti")
+            done, open_ = open_, stage(rest, "open")
+            for path in (done.path, decided.path):
+                release(spark, path)
+        keep(accepted)
+    return spark.read.schema(accepted.frame.schema).parquet(accepted.path)
 
 
 def append_unique_any(new: DataFrame, existing: DataFrame, keys: Sequence[str], order_by: Sequence[str], id_column: str = "id") -> DataFrame:

@@ -78,7 +78,7 @@ def top_counts(df: DataFrame, column: str, k: int, count: str = "n") -> DataFram
 
 
 def top_categories(df: DataFrame, label: str = "nutriscore_label", category: str = "categories_en", k: int = 10) -> DataFrame:
-    """Mean label of the k most frequent main categories, best first; one aggregation."""
+    """Mean label of the k most frequent main categories, ranked with the best mean first; one aggregation."""
     main = first_category(category).alias("category")
     means = (
         df.select(main, col(label).alias("_label"))
@@ -86,7 +86,10 @@ def top_categories(df: DataFrame, label: str = "nutriscore_label", category: str
         .groupBy("category")
         .agg(F.avg("_label").alias("avg_label"), F.count(F.lit(1)).alias("n"))
     )
-    return means.orderBy(F.desc("n"), "category").limit(k)
+    frequent = means.orderBy(F.desc("n"), "category").limit(k)
+    # A window over k rows.
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("avg_label", "category"))
+    return frequent.withColumn("rank", place).orderBy("rank")
 
 
 # Correlations per aggregate row: their buffers stay under the width Spark compiles.
