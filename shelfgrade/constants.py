@@ -62,6 +62,22 @@ GRADE_DESCRIPTIONS = {
     "e": "Mauvais — À éviter ❌",
 }
 
+# Texts of the context block; figures as (measure, digits, label, unit).
+CONTEXT_WORDS = {
+    "size": " produits | Distribution : ",
+    "found": "\nPRODUITS TROUVÉS DANS LA BASE :\n",
+    "item": "  • ",
+    "grade": ") — Nutri-Score ",
+    "figures": (
+        ("energy_100g", 0, "    Énergie: ", " kcal"),
+        ("sugars_100g", 1, " | Sucres: ", "g"),
+        ("salt_100g", 2, " | Sel: ", "g"),
+        ("fat_100g", 1, " | Graisses: ", "g"),
+        ("proteins_100g", 1, " | Protéines: ", "g"),
+    ),
+    "additives": " | Additifs: ",
+}
+
 BOOSTING = {
     "max_iter": 200,
     "max_depth": 6,

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import GRADE_DESCRIPTIONS, THEMES, UNKNOWN_BRAND
+from ..constants import CONTEXT_WORDS, GRADE_DESCRIPTIONS, THEMES, UNKNOWN_BRAND
 from ..functions.grades import describe_grade
 from ..functions.numeric import zero_if_missing
 from ..functions.text import col, first_matching, query_words
-from ..staging import stage
+from ..staging import scope, stage
 from .dedup import top_rows
+from .joins import join_spread
 from .statistics import value_counts
-from .substring_join import join_containing, needle_table, text_table
+from .substring_join import match_words, needle_table
 
 SHOWN = (
     "product_name", "brands", "nutriscore_grade", "energy_100g", "sugars_100g", "salt_100g",
@@ -33,28 +34,24 @@ def last_user_message(turns: DataFrame, conversation="conv_id", turn="turn", rol
 def keyword_hits(words: DataFrame, products: DataFrame, tie_break: Sequence[str], name="product_name", brand="brands", grade="nutriscore_grade", shown: Sequence[str] = SHOWN, n: int = 3) -> DataFrame:
     """The n best-graded products per word whose name or brand contains it: ``word, place, ...``.
 
-    Every distinct name or brand keeps its n best rows before the match, so a word that
-    occurs everywhere still joins n rows per distinct text.
+    Every word of the names and brands keeps its n best rows, taken in the map tasks first. The
+    asked words are matched with this vocabulary only, and the short lists of the matched words are
+    merged: a product among the n best of all is among the n best of one of its own words. Names and
+    brands are not shuffled, unless they are shown.
     """
     order = [col(grade).asc_nulls_last(), *[col(t).asc_nulls_last() for t in tie_break]]
     kept = list(dict.fromkeys([*shown, grade, *tie_break]))
-    rows = products.select(*[col(c) for c in kept], F.lower(col(name)).alias("_name"), F.lower(col(brand)).alias("_brand"))
-    # One row per text; a row whose brand equals its name is offered once.
-    texts = F.array_distinct(F.array("_name", "_brand"))
-    offered = rows.select(*[col(c) for c in kept], F.explode(texts).alias("_text")).where("_text IS NOT NULL")
-    best = top_rows(offered, ["_text"], order, n).groupBy("_text").agg(
-        # At most n rows per text.
-        F.collect_list(F.struct(*[col(c) for c in kept])).alias("_rows")
-    )
-    needles, corpus = needle_table(words, "word"), text_table(best, "_text")
-    matched = join_containing(needles, corpus).select(F.col("needle").alias("word"), F.inline("_rows"))
-    # A product can be found by name and by brand, so 2 n places hold n different products.
-    found = top_rows(matched, ["word"], order, 2 * n)
-    hits = top_rows(found.dropDuplicates(["word", *tie_break]), ["word"], order, n, "place")
-    if not needles.frame.where("needle = ''").isEmpty():
+    split = lambda c: F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"\s+")
+    held = products.select(*[col(c) for c in kept], F.explode(F.array_distinct(F.concat(split(name), split(brand)))).alias("_word"))
+    lists = stage(top_rows(held.where("_word <> ''").withColumnRenamed("_word", "word"), ["word"], order, n), "lists").frame
+    needles = needle_table(words, "word").frame
+    matched = match_words(needles.where("needle <> ''"), lists.select("word").distinct())
+    offered = join_spread(lists.withColumnRenamed("word", "_word"), matched.withColumnRenamed("word", "_word"), "_word", tie_break)
+    offered = offered.drop("_word").withColumnRenamed("needle", "word")
+    hits = top_rows(offered.dropDuplicates(["word", *tie_break]), ["word"], order, n, "place")
+    if not needles.where("needle = ''").isEmpty():
         # A word of punctuation only is empty after stripping and matches everything.
-        everything = corpus.frame.select(F.lit("").alias("word"), F.inline("_rows"))
-        everything = top_rows(everything, ["word"], order, 2 * n).dropDuplicates(list(tie_break))
+        everything = products.where(col(name).isNotNull() | col(brand).isNotNull()).select(F.lit("").alias("word"), *[col(c) for c in kept])
         hits = hits.unionByName(top_rows(everything, ["word"], order, n, "place"))
     return hits
 
@@ -62,7 +59,8 @@ def keyword_hits(words: DataFrame, products: DataFrame, tie_break: Sequence[str]
 def message_products(messages: DataFrame, products: DataFrame, tie_break: Sequence[str], key="conv_id", message="message", name="product_name", n: int = 3, **columns) -> DataFrame:
     """Products named by the first words of each message, one row per name, in word order."""
     words = messages.select(col(key), F.posexplode(query_words(message)).alias("_word_at", "word"))
-    hits = stage(keyword_hits(words, products, tie_break, name=name, n=n, **columns), "hits").frame
+    with scope(messages.sparkSession) as keep:
+        hits = keep(stage(keyword_hits(words, products, tie_break, name=name, n=n, **columns), "hits"))
     found = words.join(hits, "word")
     order = [F.col("_word_at"), F.col("place")]
     first = top_rows(found, [key, name], order, 1)
@@ -101,25 +99,22 @@ def _fixed(c, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(zero_if_missing(c), digits))
 
 
-def product_line(descriptions=GRADE_DESCRIPTIONS) -> Column:
-    """A product as two lines of text."""
+def product_line(descriptions=GRADE_DESCRIPTIONS, words=CONTEXT_WORDS) -> Column:
+    """A product as two lines of text; ``words`` are the fixed texts between the figures."""
     grade = col("nutriscore_grade")
-    return F.concat(
-        F.lit("  • "), F.coalesce(col("product_name"), F.lit("None")),
-        F.lit(" ("), F.coalesce(F.nullif(col("brands"), F.lit("")), F.lit(UNKNOWN_BRAND)),
-        F.lit(") — Nutri-Score "), F.upper(F.coalesce(grade, F.lit("?"))),
-        F.lit(" ("), describe_grade(grade, descriptions, ""),
-        F.lit(")\n    Énergie: "), _fixed("energy_100g", 0),
-        F.lit(" kcal | Sucres: "), _fixed("sugars_100g", 1),
-        F.lit("g | Sel: "), _fixed("salt_100g", 2),
-        F.lit("g | Graisses: "), _fixed("fat_100g", 1),
-        F.lit("g | Protéines: "), _fixed("proteins_100g", 1),
-        F.lit("g | Additifs: "), zero_if_missing("additives_n").cast("int").cast("string"),
-        F.lit("\n"),
-    )
-
-
-def catalogue_line(products: DataFrame, grade="nutriscore_grade", title: str = "CATALOGUE") -> DataFrame:
+    parts = [
+        words["item"], F.coalesce(col("product_name"), F.lit("None")),
+        " (", F.coalesce(F.nullif(col("brands"), F.lit("")), F.lit(UNKNOWN_BRAND)),
+        words["grade"], F.upper(F.coalesce(grade, F.lit("?"))),
+        " (", describe_grade(grade, descriptions, ""), ")\n",
+    ]
+    for measure, digits, label, unit in words["figures"]:
+        parts += [label, _fixed(measure, digits), unit]
+    parts += [words["additives"], zero_if_missing("additives_n").cast("int").cast("string"), "\n"]
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def catalogue_line(products: DataFrame, grade="nutriscore_grade", title: str = "CATALOGUE", words=CONTEXT_WORDS) -> DataFrame:
     """One row with the size of the table and its grade distribution as text."""
     counts = value_counts(products, grade, keep_null=True)
     entry = F.when(
@@ -129,7 +124,7 @@ def catalogue_line(products: DataFrame, grade="nutriscore_grade", title: str = "
     # One entry per grade.
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), " | ")
     return counts.agg(
-        F.concat(F.lit(f"{title} : "), F.format_number(F.coalesce(F.sum("n"), F.lit(0)), 0), F.lit(" produits | Distribution : "), parts, F.lit("\n")).alias("header")
+        F.concat(F.lit(f"{title} : "), F.format_number(F.coalesce(F.sum("n"), F.lit(0)), 0), F.lit(words["size"]), parts, F.lit("\n")).alias("header")
     )
 
 
@@ -141,7 +136,7 @@ def context_blocks(messages: DataFrame, found: DataFrame, products: DataFrame, k
             F.transform(F.sort_array(F.collect_list(F.struct("position", product_line().alias("line")))), lambda e: e["line"]), ""
         ).alias("_lines")
     )
-    listed = F.concat(F.lit("\nPRODUITS TROUVÉS DANS LA BASE :\n"), F.col("_lines"))
+    listed = F.concat(F.lit(CONTEXT_WORDS["found"]), F.col("_lines"))
     return messages.select(col(key)).join(lines, key, "left").select(
         col(key), F.concat(F.lit(header), F.coalesce(listed, F.lit(""))).alias("context")
     )

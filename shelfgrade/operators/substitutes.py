@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..constants import GRADES
 from ..functions.grades import own_grade
 from ..functions.text import col, first_category
-from ..staging import stage
+from ..staging import scope, stage
 from .dedup import top_rows
+from .joins import join_spread
 from .substring_join import join_containing, needle_table, text_table
 
 
@@ -52,8 +53,14 @@ def find_substitutes(
     Output: the product's ``tie_break`` columns, name and payload, ``position``, ``source`` and
     the substitute's columns prefixed ``sub_``.
     """
+    spark = products.sparkSession
+    with scope(spark) as keep:
+        return _substitutes(products, tie_break, n, payload, cols, grades, keep)
+
+
+def _substitutes(products, tie_break, n, payload, cols: Columns, grades, keep) -> DataFrame:
     carried = list(dict.fromkeys([*tie_break, cols.name, cols.category, cols.grade, cols.energy, *payload]))
-    table = stage(products.select(*[col(c) for c in carried]), "products").frame
+    table = keep(stage(products.select(*[col(c) for c in carried]), "products"))
     asking = table.withColumns(
         {
             "_own": own_grade(cols.grade, grades),
@@ -62,12 +69,15 @@ def find_substitutes(
     ).where(F.col("_own") != grades[0])
 
     better = table.where(col(cols.grade).isin(*grades[:-1]))
-    lists = _category_lists(better, asking, tie_break, n, cols, carried)
+    lists = keep(stage(_category_lists(better, asking, tie_break, n, cols, carried), "lists"))
     offered = F.filter(
         F.coalesce(F.col("_list"), F.array().cast(lists.schema["_list"].dataType)),
         lambda s: (s[cols.grade] < F.col("_own")) & ~s[cols.name].eqNullSafe(col(cols.name)),
     )
-    answered = asking.join(lists, "_asked", "left").withColumn("_offer", F.slice(offered, 1, n))
+    # Products without category have nothing to join; those of a popular one are dealt out.
+    named = join_spread(asking.where("_asked IS NOT NULL"), lists, "_asked", tie_break, "left")
+    nameless = asking.where("_asked IS NULL").withColumn("_list", F.lit(None).cast(lists.schema["_list"].dataType))
+    answered = named.unionByName(nameless).withColumn("_offer", F.slice(offered, 1, n))
 
     overall = _best_overall(better, tie_break, n, cols, carried, lists.schema["_list"].dataType)
     fallback = F.filter(overall, lambda s: s[cols.grade] < F.col("_own"))
@@ -99,10 +109,9 @@ def _category_lists(better, asking, tie_break, n, cols: Columns, carried) -> Dat
     found = join_containing(needle_table(asking, "_asked"), text_table(short, "_text"))
     offered = found.select(F.col("needle").alias("_asked"), F.inline("_rows"))
     offered = top_rows(top_rows(offered, ["_asked", cols.name], order, n), ["_asked"], order, 2 * n, "_place")
-    lists = offered.groupBy("_asked").agg(
+    return offered.groupBy("_asked").agg(
         F.sort_array(F.collect_list(F.struct("_place", *[col(c) for c in carried]))).alias("_list")
     )
-    return stage(lists, "lists").frame
 
 
 def _best_overall(better, tie_break, n, cols: Columns, carried, as_type) -> Column:

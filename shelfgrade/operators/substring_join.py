@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..staging import Staged, stage
+from .joins import join_spread
 
 GRAM = 3
 
@@ -48,11 +49,16 @@ def join_containing(needles: Staged, texts: Staged) -> DataFrame:
 def _by_words(words: DataFrame, corpus: DataFrame) -> DataFrame:
     """``needle, text_id`` through the distinct words of the texts."""
     held = corpus.select("text_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    vocabulary = stage(held.select("word").distinct(), "vocabulary").frame
-    pairs = _matches(words, vocabulary.select(F.col("word").alias("text_id"), F.col("word").alias("text")))
-    pairs = stage(pairs.select("needle", F.col("text_id").alias("word")), "pairs").frame
-    # A text can hold the needle in several words.
-    return held.join(pairs, "word").select("needle", "text_id").distinct()
+    pairs = stage(match_words(words, held.select("word").distinct()), "pairs").frame
+    # A text can hold the needle in several words; a stop word is in nearly every text.
+    return join_spread(held, pairs, "word", ["text_id"]).select("needle", "text_id").distinct()
+
+
+def match_words(needles: DataFrame, words: DataFrame) -> DataFrame:
+    """``needle, word`` for needles without white space and the distinct words they occur in."""
+    vocabulary = stage(words, "vocabulary").frame
+    pairs = _matches(needles, vocabulary.select(F.col("word").alias("text_id"), F.col("word").alias("text")))
+    return pairs.select("needle", F.col("text_id").alias("word"))
 
 
 def _grams(c, size: int) -> Column:
