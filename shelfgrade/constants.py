@@ -97,6 +97,9 @@ JDBC_BATCH = 1000
 
 # ---- end of fixed values -------------------------------------------------------
 
+# Labelled rows that a model is fitted on at most; all other rows are only scored.
+FIT_ROWS = 20_000
+
 # The hyphenated source name needs back-ticks in SQL, so it is renamed when read.
 SOURCE_NAMES = {"saturated_fat_100g": ("saturated-fat_100g", "saturated_fat_100g")}
 # The regional dump may carry energy twice; kilocalories win.
