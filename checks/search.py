@@ -10,7 +10,7 @@ from shelfgrade.operators.dedup import first_per_key
 from shelfgrade.operators.substitutes import find_substitutes
 from shelfgrade.plans import views
 from shelfgrade.plans.sql import presets, run_preset, run_sql
-from shelfgrade.plans.views import ROW
+from shelfgrade.plans.views import PRODUCTS, ROW
 from shelfgrade.sources import payloads
 from shelfgrade.staging import stage
 
@@ -179,6 +179,20 @@ def substitutes_fallback(spark, folder):
     return _offers(spark, folder).where("source = 'overall'").select(*SHOWN)
 
 
+PHRASE = "replace(categories_en, ', ', ' goods, ')"
+
+
+@query(
+    "substitutes_phrase",
+    ANSWERS.replace(WITH_PRODUCTS, f"WITH base AS ({PRODUCTS}), products AS (SELECT * REPLACE ({PHRASE} AS categories_en) FROM base)\n")
+    + f"SELECT {ROW_P}, CAST(s.position AS INTEGER) AS position, {SUB_OUT} FROM products p JOIN hits s ON {ON_CATEGORY}",
+)
+def substitutes_phrase(spark, folder):
+    # First categories of two words.
+    products = views.products(spark, folder).withColumn("categories_en", F.expr(PHRASE))
+    return find_substitutes(products, ROW, payload=CARRIED).where("source = 'category'").select(*SHOWN)
+
+
 def _delta(measure):
     o, n = f"coalesce(p.{measure}, 0)", f"coalesce(s.{measure}, 0)"
     return (

@@ -33,13 +33,6 @@ PRODUCT_PAYLOAD = (
     "salt_100g:double, proteins_100g:double>>"
 )
 
-FAVOURITES = (
-    "id int, user_id int, product_code string, product_name string, "
-    "substitute_code string, substitute_name string, saved_at timestamp"
-)
-
-USERS = "id int, username string, email string, password_hash string, created_at timestamp"
-
 
 def select_available(df: DataFrame, wanted) -> DataFrame:
     """The wanted columns that exist, in the wanted order."""

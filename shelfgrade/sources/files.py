@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import PRODUCT_COLUMNS, SOURCE_NAMES
+from ..constants import PRODUCT_COLUMNS, REGION_SOURCE_NAMES, SOURCE_NAMES
 from ..schema import clean_schema, rename_coalesce, select_available
 
 _SPARE = "_one_field_too_many"
@@ -50,6 +50,11 @@ def scan_delimited(
     return df if wanted is None else select_available(df, wanted)
 
 
+def scan_region(spark: SparkSession, path: str, sep: str = "\t", **options) -> DataFrame:
+    """The regional dump: energy may come in two columns, of which kilocalories win."""
+    return scan_delimited(spark, path, sep, names=REGION_SOURCE_NAMES, **options)
+
+
 def with_ingest_order(df: DataFrame) -> DataFrame:
     """Columns that order rows as they stand in the files, for first-wins rules.
 

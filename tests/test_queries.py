@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, engine
+from shelfgrade.staging import scope
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -24,7 +25,8 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    complaint, rows = compare(con, name, QUERIES[name](spark, FOLDER), ORACLES.get(name))
+    with scope(spark):
+        complaint, rows = compare(con, name, QUERIES[name](spark, FOLDER), ORACLES.get(name))
     assert not complaint
     assert rows >= 0
 

@@ -82,6 +82,13 @@ def test_dump_scan(spark, folder):
     assert ordered.select("ingest_file", "ingest_block", "ingest_row").count() == 3
 
 
+def test_region_dump_prefers_kilocalories(spark, folder):
+    with open(f"{folder}/region.tsv", "w") as f:
+        f.write("code\tenergy-kcal_100g\tenergy_100g\n1\t5\t20\n2\t\t40\n")
+    df = files.scan_region(spark, f"{folder}/region.tsv")
+    assert [tuple(r) for r in df.orderBy("code").collect()] == [("1", "5"), ("2", "40")]
+
+
 def test_compressed_dump_scan(spark, folder):
     import gzip
 
@@ -215,12 +222,30 @@ def test_encoder_is_called_per_batch_and_logistic_scores(spark):
     assert set(chances) == {"a", "b"} and sum(chances.values()) == pytest.approx(1.0, abs=0.002)
 
 
+def test_train_and_save(spark, folder):
+    rows = [(i, float(i % 5), float(i % 3), i % 5, "abcde"[i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, sugars_100g double, salt_100g double, nutriscore_label int, nutriscore_grade string")
+    for train in (learning.train_forest, learning.train_boosted):
+        done = learning.train_and_save(df, "id", f"{folder}/{train.__name__}", f"{folder}/metrics", train=train, fit_rows=100, max_iter=4, max_depth=3)
+        assert done.accuracy == 1.0 and done.scored.count() == 60
+        again = learning.load_model(spark, f"{folder}/{train.__name__}")
+        assert learning.score_boosted(again, df).where("predicted_nutriscore <> nutriscore_grade").count() == 0
+    assert {r["model"] for r in spark.read.parquet(f"{folder}/metrics").collect()} == {"train_forest", "train_boosted"}
+    texts = df.selectExpr("id", "concat('word', id % 5, ' some more') AS text", "id % 2 AS label")
+    assert learning.train_text_and_save(texts, "id", f"{folder}/text", names=["x", "y"]).report.count() == 5
+
+
 def test_corpus_minimum_length(spark):
     df = spark.createDataFrame([("short", None), ("just eleven", None), ("long", "enough text")], "product_name string, ingredients_text string")
     assert learning.text_corpus(df).count() == 2
     assert learning.text_corpus(df, columns=["product_name"], longer_than=4).count() == 2
 
 
+def test_scoring_corpus_takes_five_characters(spark):
+    df = spark.createDataFrame([("four", None), ("five5", None), ("a", "bcd")], "product_name string, ingredients_text string")
+    assert sorted(r["text"] for r in learning.query_corpus(df).collect()) == ["a bcd", "five5"]
+
+
 def test_describe_and_boxes(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", None), (None, 5.0)], "g string, v double")
     row = statistics.describe(df, ["v"]).first()
