@@ -29,13 +29,14 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BLANK = "▁"
 WORD = re.compile(rf" *[^ {BLANK}\n]+|{BLANK}|\n| +")
 LONG = 64  # characters; longer words are handled one by one
-CHARS = 2_000_000  # of a batch that are worked on at a time
-HELD = 300_000  # solved words that a task remembers
+CHARS = 4_000_000  # of a batch that are worked on at a time
+HELD = 200_000  # solved words that a task remembers
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,11 +182,19 @@ def _solve(vocab: Vocabulary, words: list[str]):
     return before[size], before[size] - second, flat, lengths
 
 
+class Numbers(dict):
+    """Words in the order of their first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Solved:
     """Per word: its number, best score, loss of the second best, and where its ids are in ``flat``."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.score, self.loss = np.empty(0), np.empty(0)
         self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
@@ -249,13 +258,12 @@ def encode_texts(vocab: Vocabulary, texts: list[str], n: int, solved: Solved | N
     """
     solved = solved or Solved()
     number, known = solved.number, len(solved.number)
-    split = [[number.setdefault(w, len(number)) for w in WORD.findall(" " + t)] for t in texts]
+    split = [np.fromiter(map(number.__getitem__, WORD.findall(" " + t)), np.int64) for t in texts]
     solved.add(vocab, list(islice(number, known, None)))
     score, loss, first, length, flat = solved.score, solved.loss, solved.first, solved.length, solved.flat
     words = list(number)
     searched = cache(lambda k: n_best(vocab, words[k], n))
     for own in split:
-        own = np.array(own, np.int64)
         ids, total, more = _gather(flat, first[own], length[own]), float(score[own].sum()), []
         if n > 1:
             least = [int(k) for k in _least(loss[own], n - 1) if np.isfinite(loss[own[k]])]
@@ -276,43 +284,48 @@ def _least(losses: np.ndarray, k: int) -> np.ndarray:
 
 
 def decode_ids(vocab: Vocabulary, ids) -> str:
-    return b"".join([vocab.raw[i] for i in ids])[1:].decode()
+    return b"".join(map(vocab.raw.__getitem__, ids))[1:].decode()
 
 
-ENCODED = "ids array<int>, n_pieces long, score double, alternatives array<struct<score: double, swaps: array<struct<at: int, removed: int, ids: array<int>>>>>"
+ENCODED = "ids array<int>, n_pieces long, score double, round_trip boolean, alternatives array<struct<score: double, swaps: array<struct<at: int, removed: int, ids: array<int>>>>>"
 
 
 def encode(df: DataFrame, text: str, keep, model: str, n: int = 3) -> DataFrame:
-    """``keep`` columns, ids, n_pieces and score of the best segmentation, and the n - 1 next."""
+    """``keep`` columns, ids, n_pieces and score of the best segmentation, and the n - 1 next.
+
+    ``round_trip`` says whether the ids were decoded to the text again.
+    """
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    more = df.sparkSession.createDataFrame([], ENCODED).schema
+    schema = rows.drop("_text").schema
+    for field in T.StructType.fromDDL(ENCODED):
+        schema = schema.add(field)
     others = pa.list_(pa.struct([("score", pa.float64()), ("swaps", pa.list_(pa.struct([("at", pa.int32()), ("removed", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def run(batches):
-        vocab, solved = None, Solved()
+        vocab, solved = Vocabulary(model), Solved()
         for whole in batches:
-            vocab = vocab or Vocabulary(model)
             for b in _parts(whole):
                 solved = solved if len(solved.number) < HELD else Solved()
-                found = list(encode_texts(vocab, b.column("_text").to_pylist(), n, solved))
-                sizes = [len(ids) for ids, _, _ in found]
-                flat = np.concatenate([np.empty(0, np.int64), *(ids for ids, _, _ in found)]).astype(np.int32)
+                texts = b.column("_text").to_pylist()
+                pieces, scores, same, alternatives = [], [], [], []
+                for body, (ids, score, alt) in zip(texts, encode_texts(vocab, texts, n, solved)):
+                    pieces.append(ids)
+                    scores.append(score)
+                    same.append(decode_ids(vocab, ids.tolist()) == body)
+                    alternatives.append([{"score": s, "swaps": [{"at": a, "removed": r, "ids": i} for a, r, i in w]} for s, w in alt])
+                sizes = [len(ids) for ids in pieces]
+                flat = np.concatenate([np.empty(0, np.int32), *pieces]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-                alternatives = [[{"score": s, "swaps": [{"at": a, "removed": r, "ids": i} for a, r, i in w]} for s, w in alt] for _, _, alt in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i) for i in range(b.num_columns - 1)), listed, pa.array(sizes, pa.int64()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(alternatives, others)],
-                    names=[*b.schema.names[:-1], "ids", "n_pieces", "score", "alternatives"],
-                )
+                columns = [listed, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(same, pa.bool_()), pa.array(alternatives, others)]
+                kept = [b.column(i) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*b.schema.names[:-1], "ids", "n_pieces", "score", "round_trip", "alternatives"])
 
-    schema = rows.drop("_text").schema
-    for field in more:
-        schema = schema.add(field)
     return rows.mapInArrow(run, schema)
 
 
 def _parts(batch: pa.RecordBatch):
     """A batch in parts of about CHARS bytes of text; a text stays whole."""
-    sizes = np.cumsum([len(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()])
+    sizes = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False))
     first = 0
     while first < batch.num_rows:
         done = sizes[first - 1] if first else 0
@@ -326,10 +339,11 @@ def decode(df: DataFrame, ids: str, keep, model: str) -> DataFrame:
     rows = df.select(*keep, F.col(ids).alias("_ids"))
 
     def run(batches):
-        vocab = None
+        vocab = Vocabulary(model)
         for b in batches:
-            vocab = vocab or Vocabulary(model)
-            texts = [None if one is None else decode_ids(vocab, one) for one in b.column("_ids").to_pylist()]
+            held = b.column("_ids")
+            # One row's ids at a time become Python numbers.
+            texts = [None if not one.is_valid else decode_ids(vocab, one.values.to_pylist()) for one in held]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
     return rows.mapInArrow(run, rows.drop("_ids").schema.add("decoded", "string"))
