@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. ``run`` writes each
 result to the shared folder and reads it again for the next stage, so that a lost executor costs a
-re-read. All stages but the last return the columns of ``docs`` as they are, whatever further columns
+re-read. Stages that hand texts to Python workers ask for small Arrow batches, so that the batches of all
+tasks of an executor, in the JVM and in the workers, fit beside its heap. All stages but the last return the columns of ``docs`` as they are, whatever further columns
 there are; a missing text counts as empty, and a document without text stays unless it is a near copy.
 """
 
@@ -17,6 +18,14 @@ from shelfgrade.staging import release, stage
 ORACLE_SQL = None
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_MB = 8
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set(BATCH, f"{BATCH_MB}m")
+
+
 def _whole(docs: DataFrame):
     """All columns of a row as one, so that no name can clash with an operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
@@ -24,6 +33,7 @@ def _whole(docs: DataFrame):
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above the toxicity threshold of their language go."""
+    _small_batches(spark)
     learned = F.coalesce(queries.remainder("doc_id", 4) != 2, F.lit(False))
     labels = queries.table(spark, sf_dir, "labels").where(learned)
     model = toxicity.train(docs.where(learned), labels, "doc_id", "text", "lang", "toxic")
@@ -33,6 +43,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    _small_batches(spark)
     return simhash.first_copies(docs, "doc_id", "text", shingle=3, radius=3)
 
 
@@ -46,12 +57,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; the number of characters follows."""
+    _small_batches(spark)
     masked = secret_scan.redact(docs, "text")
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their best segmentation, and whether these give the text back."""
+    _small_batches(spark)
     encoded = pieces.encode(docs.select(_whole(docs), "text"), "text", ["_doc"], queries.PIECES, n=2)
     return encoded.select("_doc.*", F.col("ids").alias("piece_ids"), "n_pieces", F.col("score").alias("piece_score"), "round_trip")
 
