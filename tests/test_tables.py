@@ -246,6 +246,17 @@ def test_scoring_corpus_takes_five_characters(spark):
     assert sorted(r["text"] for r in learning.query_corpus(df).collect()) == ["a bcd", "five5"]
 
 
+def test_scoring_corpus_query_holds_whole_texts(spark):
+    from checks.models import query_corpus_whole
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text").collect()
+    whole = {r["doc_id"]: f"{r['lang'] or ''} {r['text'] or ''}".strip(" \t\n\r") for r in rows}
+    got = {r["doc_id"]: r["text"] for r in query_corpus_whole(spark, folder).collect()}
+    assert got == {i: t for i, t in whole.items() if len(t) >= 5}
+    assert max(map(len, got.values())) > 1000
+
+
 def test_describe_and_boxes(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", None), (None, 5.0)], "g string, v double")
     row = statistics.describe(df, ["v"]).first()
