@@ -7,6 +7,12 @@ programming over its characters, to cut it into words, dates, repeats, keyboard
 spans, as the decimal logarithm of the guesses. Values of at least ``LEAST`` are added as spans of kind
 ``guess`` unless they lie inside a base span.
 
+Words are the fixed ones and all words of the scanned texts, ranked by how often they occur outside of
+base spans and of values in credential context, so that a secret does not become a word by being repeated.
+A word is a run of 3 to ``LONGEST_WORD`` letters; its rank is the number of words that occur as often or
+more often. The ranks are staged and joined to the letters of the distinct costly values only; values that
+cost less with them are taken back from the rows that hold them. No vocabulary is sent to the tasks.
+
 Texts are first searched for any of the patterns' fixed parts by Arrow's linear-time matcher; only texts
 with one of them are looked at character by character.
 
@@ -16,12 +22,18 @@ results of their own; positions count code points, ends are exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from shelfgrade.operators.joins import join_spread
+from shelfgrade.staging import release, stage
 
 # The base patterns, their kinds in order, and the least lengths of what they match.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,6 +53,8 @@ _CONTEXT = re.compile(
 _ANY = r"(?i)(?:pass|passphrase|passcode|password|passwd|pwd|pin|secret|token|credentials?|key|authorization)[\"']?(?:\x20*[:=]|\x20+is\x20)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 LEAST = 8.0  # decimal logarithm of the guesses
+LONGEST_WORD = 40
+SLICE = 1000  # texts whose words are counted together
 
 # Common words of passwords, most frequent first.
 WORDS = (
@@ -68,13 +82,18 @@ def _char_cost(c: str) -> float:
     return math.log10(next((n for rule, n in _CLASSES if rule.match(c)), 33))
 
 
+def _small(value: str) -> str:
+    low = value.lower()
+    if len(low) != len(value):  # a letter whose small form is two characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    return low
+
+
 def spans_of(value: str, rank: dict[str, int] | None = None) -> list[tuple[int, int, str, float]]:
     """All (start, end, kind, cost) of known shapes in a value."""
     rank = _RANK if rank is None else rank
     longest = _LONGEST if rank is _RANK else max(map(len, rank), default=0)
-    low = value.lower()
-    if len(low) != len(value):  # a letter whose small form is two characters
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    low = _small(value)
     plain = low.translate(STANDS)
     out = []
     for i in range(len(value)):
@@ -134,8 +153,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, base, least: float = LEAST) -> list[tuple[int, int, int]]:
-    """Values in credential context that cost many guesses and lie outside the base spans."""
+def digest(value: str) -> str:
+    return hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def guess_spans(text: str, base, least: float = LEAST, cheap=frozenset()) -> list[tuple[int, int, int]]:
+    """Values in credential context that cost many guesses and lie outside the base spans, but for those whose digest is in ``cheap``."""
     out = []
     at, reach = 0, 0  # base spans that start before the value; how far they reach
     for m in _CONTEXT.finditer(text):
@@ -143,7 +166,7 @@ def guess_spans(text: str, base, least: float = LEAST) -> list[tuple[int, int, i
         while at < len(base) and base[at][0] <= start:
             reach = max(reach, base[at][2])
             at += 1
-        if end > reach and guess_cost(m[1])[0] >= least:
+        if end > reach and not (cheap and digest(m[1]) in cheap) and guess_cost(m[1])[0] >= least:
             out.append((start, 3, end))
     return out
 
@@ -152,10 +175,10 @@ def named(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find(text: str, least: float = LEAST):
+def find(text: str, least: float = LEAST, cheap=frozenset()):
     """Base spans and added spans of a text."""
     base = base_spans(text)
-    return base, guess_spans(text, base, least)
+    return base, guess_spans(text, base, least, cheap)
 
 
 def masked(text: str, spans, mark: str) -> str:
@@ -173,6 +196,113 @@ def masked(text: str, spans, mark: str) -> str:
     return "".join([*out, text[done:]])
 
 
+def _is_letter(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
+def letters(value: str) -> set[str]:
+    """All that could be a word in a value, as it is and with signs read as letters."""
+    low, out = _small(value), set()
+    for line in {low, low.translate(STANDS)}:
+        run = 0  # letters from a place on
+        for i in range(len(line) - 1, -1, -1):
+            run = run + 1 if _is_letter(line[i]) else 0
+            out.update(line[i:j] for j in range(i + 3, i + min(run, LONGEST_WORD) + 1))
+    return out
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, n: the words of ``_text`` outside of base spans and of values in credential context."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                texts = b.column("_text").slice(at, SLICE)
+                suspect = pc.match_substring_regex(texts, _ANY).to_pylist()
+                if any(suspect):
+                    bodies = texts.to_pylist()
+                    for i, look in enumerate(suspect):
+                        if look:
+                            held = [(m.start(1), 3, m.end(1)) for m in _CONTEXT.finditer(bodies[i])]
+                            bodies[i] = masked(bodies[i], base_spans(bodies[i]) + held, " ")
+                    texts = pa.array(bodies, pa.string())
+                words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\pL\pM]+").flatten()
+                size = pc.utf8_length(words)
+                counted = words.filter(pc.and_(pc.greater_equal(size, 3), pc.less_equal(size, LONGEST_WORD))).value_counts()
+                yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts").cast(pa.int64())], names=["word", "n"])
+
+    return rows.select("_text").where("_text IS NOT NULL").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _costly(rows: DataFrame, least: float) -> DataFrame:
+    """The rows with the values that the fixed words leave costly, as ``_values``."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("_text")
+            found = []
+            for i, look in enumerate(pc.match_substring_regex(texts, _ANY).to_pylist()):
+                body = texts[i].as_py() if look else ""
+                found.append(sorted({body[a:e] for a, _, e in find(body, least)[1]}) if look else [])
+            columns = [b.column(i) for i in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names, "_values"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_values", ArrayType(StringType())))
+
+
+def cheap_values(values: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """_id: the digests of those ``values`` (_id, value) that cost less with the words of ``rows``."""
+
+    def pairs(batches):
+        for b in batches:
+            for i, value in zip(b.column("_id").to_pylist(), b.column("value").to_pylist()):
+                words = sorted(letters(value))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.string()), pa.array(words, pa.string())], names=["_id", "word"])
+
+    def judge(batches):
+        for b in batches:
+            cheap = []
+            for i, value, known in zip(*(b.column(n).to_pylist() for n in ("_id", "value", "known"))):
+                rank = dict(_RANK)
+                for k in known:
+                    rank[k["word"]] = min(k["rank"], rank.get(k["word"], k["rank"]))
+                if guess_cost(value, rank)[0] < least:
+                    cheap.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(cheap, pa.string())], names=["_id"])
+
+    spark = rows.sparkSession
+    counts = stage(word_counts(rows), "words")
+    asked = stage(values.mapInArrow(pairs, "_id string, word string"), "letters")
+    # One row for each number of occurrences: as many as the root of twice the length of the corpus at most.
+    places = counts.frame.groupBy("n").count().select("n", F.sum("count").over(Window.orderBy(F.desc("n"))).alias("rank"))
+    needed = counts.frame.join(asked.frame.select("word").distinct(), "word", "left_semi")
+    ranks = stage(join_spread(needed, places, "n", ["word"]).select("word", "rank"), "ranks")
+    known = join_spread(asked.frame, ranks.frame, "word", ["_id"]).groupBy("_id").agg(F.collect_list(F.struct("word", "rank")).alias("known"))
+    cheap = stage(values.join(known, "_id").select("_id", "value", "known").mapInArrow(judge, "_id string"), "cheap").frame
+    for scratch in (counts, asked, ranks):
+        release(spark, scratch.path)
+    return cheap
+
+
+def _judged(rows: DataFrame, least: float) -> DataFrame:
+    """The rows with the digests of those of their values that the words of all rows make cheap, as ``_cheap``."""
+    spark, none = rows.sparkSession, F.array().cast("array<string>")
+    marked = _costly(rows, least)
+    # Few rows hold such a value; only these are written and joined.
+    held = stage(marked.where(F.size("_values") > 0).withColumn("_row", F.monotonically_increasing_id()), "costly")
+    if not held.rows:
+        release(spark, held.path)
+        return rows.withColumn("_cheap", none)
+    each = held.frame.select("_row", F.explode("_values").alias("value"))
+    values = stage(each.select("value").distinct().select(F.md5(F.encode("value", "utf-8")).alias("_id"), "value"), "values")
+    cheap = cheap_values(values.frame, rows, least)
+    found = join_spread(each.select("_row", F.md5(F.encode("value", "utf-8")).alias("_id")), cheap, "_id", ["_row"])
+    found = found.groupBy("_row").agg(F.collect_list("_id").alias("_cheap"))
+    joined = held.frame.join(found, "_row", "left").withColumn("_cheap", F.coalesce("_cheap", none)).select(*rows.columns, "_cheap")
+    release(spark, values.path)
+    return marked.where(F.size("_values") == 0).select(*rows.columns).withColumn("_cheap", none).unionByName(joined)
+
+
 def redact(df: DataFrame, text: str, mark: str = "<secret>", least: float = LEAST) -> DataFrame:
     """The same rows and columns, secrets in ``text`` replaced by ``mark``; a missing text stays missing."""
     rest = [c for c in df.columns if c != text]
@@ -185,10 +315,10 @@ def redact(df: DataFrame, text: str, mark: str = "<secret>", least: float = LEAS
             clean = []
             for i, look in enumerate(suspect):
                 body = texts[i].as_py()
-                clean.append(masked(body, sum(find(body, least), []), mark) if look else body)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], names=b.schema.names)
+                clean.append(masked(body, sum(find(body, least, set(b.column("_cheap")[i].as_py())), []), mark) if look else body)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], names=b.schema.names[:2])
 
-    done = rows.mapInArrow(run, rows.schema)
+    done = _judged(rows, least).mapInArrow(run, rows.schema)
     return done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in df.columns])
 
 
@@ -203,19 +333,19 @@ def scan(df: DataFrame, text: str, keep, least: float = LEAST) -> DataFrame:
             counts, base_text, all_text = [[], [], [], []], [], []
             for i, look in enumerate(suspect):
                 text = texts[i].as_py() if look else ""
-                base, more = find(text, least) if look else ([], [])
+                base, more = find(text, least, set(b.column("_cheap")[i].as_py())) if look else ([], [])
                 for k in range(4):
                     counts[k].append(sum(kind == k for _, kind, _ in (*base, *more)))
                 base_text.append(named(base))
                 all_text.append(named(sorted((*base, *more))))
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
+            columns = [b.column(i) for i in range(b.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *[pa.array(c, pa.int64()) for c in counts], pa.array(base_text, pa.string()), pa.array(all_text, pa.string())],
-                names=[*b.schema.names[:-1], *names],
+                names=[*b.schema.names[:-2], *names],
             )
 
     names = ["n_assign", "n_access", "n_hex", "n_guess", "base", "spans"]
     schema = rows.drop("_text").schema
     for name in names:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
-    return rows.mapInArrow(run, schema)
+    return _judged(rows, least).mapInArrow(run, schema)

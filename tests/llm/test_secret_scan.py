@@ -79,3 +79,22 @@ def test_shapes_cost_less_than_noise():
     noise = secret_scan.guess_cost("x9Kd0Zq2Lm")[0]
     for known in ("Password12", "qwertyuiop", "aaaaaaaaaa", "1999-12-31", "ababababab"):
         assert secret_scan.guess_cost(known)[0] < noise / 2
+
+
+def test_words_of_the_texts_are_no_secrets(spark):
+    prose = ["the form is required here", "a simple rule is simple", "an expired card", "le code obligatoire", "das Feld ist erforderlich", "el campo es obligatorio", "поле обязательно"]
+    asked = ["password is required", "the secret is simple", "token is expired.", "pin: obligatoire", "passcode: erforderlich", "PIN: Obligatorio", "pwd: обязательно"]
+    secrets = ["pin is qhzvkwpxtj"] * 20 + ["pwd is Zk3!qP0x_9v"]
+    rows = list(enumerate(asked + prose + secrets + [None, ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in secret_scan.scan(df, "text", ["doc_id"]).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df, "text").collect()}
+    assert len(got) == len(clean) == len(rows)
+    for i, t in rows:
+        assert got[i].n_guess == (t in secrets), t
+        assert clean[i] == (f"{t[:7]}<secret>" if t in secrets else t)
+
+
+def test_word_counts_leave_values_out(spark):
+    df = spark.createDataFrame([("Prose prose is fine",), ("pin is hushhush prose",), (None,)], "_text string")
+    assert {tuple(r) for r in secret_scan.word_counts(df).collect()} == {("prose", 3), ("fine", 1), ("pin", 1)}
