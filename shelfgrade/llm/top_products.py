@@ -12,14 +12,18 @@ products of what remains are counted in whole numbers. A task returns the k best
 merges these. A pair of blocks holds about two times ``BLOCK`` vectors whatever the table holds; a vector is
 copied once for each part of queries that it may matter to.
 
+Vectors of each length have a rotation and blocks of their own, one length after the other.
+
 Defined results: vectors that are null, empty, or hold null or a non-finite component take no part, nor do
-rows without an id or of another length than the most common one; every row but the query's own is a
-candidate, also one with the same id; equal scores go to the smaller id; empty tables give empty results.
+rows without an id; every row of the same length but the query's own is a candidate, also one with the same
+id; equal scores go to the smaller id; empty tables give empty results.
 Scores are exact as long as they stay under 2^53.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -175,27 +179,16 @@ def _meet(turn, k: int):
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
-def top_products(df: DataFrame, key: str, vector: str, asks: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
-    """query_id, rank, vec_id and score: the k highest products of each asking row with all other rows.
-
-    Components are counted as floor(scale * x).
-    """
-    spark = df.sparkSession
-    named = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector).alias("v"))
-    packed = named.where(usable(F.col("v")) & F.col("id").isNotNull()).mapInArrow(_pack(scale), "row long, id long, asks boolean, v binary, norm double, dims int")
-    kept = stage(packed, "vectors")
-    common = kept.frame.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
-    if common is None:
-        return spark.createDataFrame([], RESULT)
-    dims, n = common["dims"], common["count"]
-    vectors = kept.frame.where(F.col("dims") == dims)
+def _of_length(vectors: DataFrame, dims: int, n: int, n_asks: int, k: int) -> DataFrame:
+    """The k best of the asking rows among ``n`` vectors of ``dims`` components."""
+    spark = vectors.sparkSession
     turn = rotation(vectors, dims)
 
     # A bounded number of vectors: the head goes to every task.
     longest = vectors.orderBy(F.desc("norm"), "row").limit(BLOCK).select("row", "id", "v").toArrow()
     head = (longest["row"].to_numpy(), longest["id"].to_numpy(), _matrix(longest["v"], dims))
     blocks = -(-n // BLOCK)
-    parts = -(-vectors.where("asks").count() // BLOCK) or 1
+    parts = -(-n_asks // BLOCK)
     seeded = vectors.where("asks").select("row", "id", "v", "norm").mapInArrow(_seed(head, turn, k), "row long, id long, v binary, norm double, least double")
     queries = stage(seeded.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")), "queries")
 
@@ -214,6 +207,23 @@ def top_products(df: DataFrame, key: str, vector: str, asks: Column, k: int = 5,
     found = met.mapInArrow(_meet(turn, k), "query long, query_id long, vec_row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "vec_row"))
     result = stage(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "products").frame
-    for scratch in (kept, queries, sorted_, pairs):
+    for scratch in (queries, sorted_, pairs):
         release(spark, scratch.path)
     return result
+
+
+def top_products(df: DataFrame, key: str, vector: str, asks: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
+    """query_id, rank, vec_id and score: the k highest products of each asking row with all other rows of its length.
+
+    Components are counted as floor(scale * x).
+    """
+    spark = df.sparkSession
+    named = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector).alias("v"))
+    packed = named.where(usable(F.col("v")) & F.col("id").isNotNull()).mapInArrow(_pack(scale), "row long, id long, asks boolean, v binary, norm double, dims int")
+    kept = stage(packed, "vectors")
+    # A vector that is alone in its length has no candidate; a length that nobody asks in gives no rows.
+    sizes = kept.frame.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_asks"))
+    lengths = sizes.where("n > 1 AND n_asks > 0").orderBy("dims").collect()
+    found = [_of_length(kept.frame.where(F.col("dims") == r.dims), r.dims, r.n, r.n_asks, k) for r in lengths]
+    release(spark, kept.path)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)

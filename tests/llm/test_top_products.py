@@ -53,6 +53,14 @@ def test_copies_ties_and_odd_rows(spark, small):
     assert run(spark, rows) == by_hand(rows)
 
 
+def test_each_length_has_its_products(spark, small):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(0, 1, (3, 20, 40)[i % 7 % 3])]) for i in range(900)]
+    rows += [(950, [1.0, 2.0]), (1001, [1.0])]  # alone in their lengths
+    want = [r for n in (3, 20, 40) for r in by_hand([(i, v) for i, v in rows if len(v) == n])]
+    assert len({r[0] for r in want}) == 18 and run(spark, rows) == sorted(want)
+
+
 def test_few_rows(spark):
     assert run(spark, []) == [] and run(spark, [(0, None)]) == []
     assert run(spark, [(0, [1.0, 0.0])]) == []
