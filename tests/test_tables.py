@@ -257,6 +257,38 @@ def test_scoring_corpus_query_holds_whole_texts(spark):
     assert max(map(len, got.values())) > 1000
 
 
+def test_report_of_the_scored_rows(spark, tmp_path):
+    from dataclasses import replace
+
+    from pyspark.ml.functions import array_to_vector
+
+    from checks.models import _checked
+
+    names = ["x", "y", "z"]
+    # Class 0 is the largest; every tenth row has a wrong label.
+    data = [(i, (c + (i % 10 == 0)) % 3, [float(c == 0), float(c == 1), i % 7 / 7]) for i in range(400) for c in [(0, 0, 1, 2)[i % 4]]]
+    rows = spark.createDataFrame(data, "row_id long, label int, v array<double>").withColumn("features", array_to_vector("v"))
+    trained = learning.train_text_and_save(rows, "row_id", str(tmp_path / "model"), names=names, encoder=[])
+    scored = trained.scored.collect()
+    assert all(r["probabilities"][r["predicted"]] == max(r["probabilities"].values()) for r in scored)
+    report = {r["class"]: r for r in trained.report.collect()}
+    right = sum(r["actual"] == r["predicted"] for r in scored) / len(scored)
+    assert abs(trained.accuracy - right) < 1e-9 and 0.8 < right < 1
+    for n in names:
+        hits = sum(r["actual"] == r["predicted"] == n for r in scored)
+        said, true = (sum(r[c] == n for r in scored) for c in ("predicted", "actual"))
+        got = report[n]
+        assert got["support"] == true
+        for found, want in ((got["precision"], hits / said), (got["recall"], hits / true), (got["f1_score"], 2 * hits / (said + true))):
+            assert abs(found - want) < 1e-3
+    assert all(r["sound"] for r in _checked(trained, learnt=True).collect())
+    # A model that guesses the largest class for all.
+    guess = trained.scored.withColumn("predicted", F.lit("x"))
+    matrix = evaluation.confusion_matrix(guess, "actual", "predicted", names)
+    dull = replace(trained, scored=guess, report=evaluation.classification_report(matrix), accuracy=evaluation.metrics(matrix)["accuracy"])
+    assert [r["class"] for r in _checked(dull, learnt=True).collect() if not r["sound"]] == ["accuracy"]
+
+
 def test_describe_and_boxes(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", None), (None, 5.0)], "g string, v double")
     row = statistics.describe(df, ["v"]).first()
