@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, decontaminate, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, url_filter
+from . import chat, decontaminate, jaccard, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, url_filter
 
 # Files of public tokenizers; a cluster names its own copy.
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -196,6 +196,20 @@ def op8_top_products(spark, sf_dir):
     return top_products.top_products(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+@query(r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 90 * (a.n + b.n - common)),
+reached AS (SELECT doc_id, doc_id AS root FROM docs UNION SELECT y, root FROM reached JOIN links ON x = doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+""")
+def op11_jaccard(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", size=3)
+
+
 @query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
