@@ -145,15 +145,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
     tokens = sets.select("sid", F.explode("reach").alias("token"))
     counts = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts").frame
     late = F.col("token").bitwiseAND(F.lit(3)) != 0
-    shared = tokens.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "df", "token"))).alias("shared"))
-    # Shingles of this document alone come first in their ring.
-    first = F.size(F.filter("shared", lambda s: ~s["late"]))
+    shared = tokens.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "df", "token"))).alias("shared"), F.count_if(~late).alias("first"), F.count("*").alias("all"))
     in_ring = F.size(F.filter("reach", lambda t: t.bitwiseAND(F.lit(3)) == 0))
-    placed = sets.select("sid", "n", in_ring.alias("ring"), F.size("reach").alias("reached")).join(shared, "sid")
-    placed = placed.select("sid", "n", "ring", "reached", first.alias("first"), F.size("shared").alias("all"), F.posexplode("shared").alias("k", "s"))
-    alone = F.when(F.col("s.late"), F.col("reached") - F.col("all")).otherwise(F.col("ring") - F.col("first"))
     length = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
-    return placed.select("sid", F.col("s.token").alias("token"), (F.col("k") + alone).alias("pos"), length.alias("length")).where("pos < length").drop("length")
+    own = sets.select("sid", length.alias("length"), in_ring.alias("ring"), F.size("reach").alias("reached"))
+    # Shingles of this document alone come first in their ring.
+    alone, alone_late = F.col("ring") - F.col("first"), F.col("reached") - F.col("all")
+    taken = F.least(F.greatest(F.col("length") - alone, F.lit(0)), F.col("first")) + F.greatest(F.col("length") - alone_late - F.col("first"), F.lit(0))
+    cut = own.join(shared, "sid").select("sid", alone.alias("alone"), alone_late.alias("alone_late"), F.slice("shared", F.lit(1), F.least(taken, F.col("all")).cast("int")).alias("cut"))
+    placed = cut.select("sid", "alone", "alone_late", F.posexplode("cut").alias("k", "s"))
+    return placed.select("sid", F.col("s.token").alias("token"), (F.col("k") + F.when(F.col("s.late"), F.col("alone_late")).otherwise(F.col("alone"))).alias("pos"))
 
 
 def _near(n, pos, cells, x, y) -> np.ndarray:
