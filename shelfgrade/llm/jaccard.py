@@ -14,10 +14,10 @@ Candidates: documents meet in the list of each shared prefix shingle. Lists over
 into parts, and every two parts meet in a task of their own. Pairs are dropped by the length filter, by the
 positional filter (what can still be shared behind the places of the common shingle) and by the suffix filter
 (sets are partitioned by hash into 128 cells, and the differences of the cells' sizes bound the Hamming
-distance). A list of n alike documents has about n^2 / 2 candidates, so a task proposes a spanning forest of
-them only; each proposed pair is verified once on the full sets, and components are joined. Rounds
-go on, over pairs of different components, until one finds no link; then all candidates that are left
-between different components are verified as well, so no link between components is lost.
+distance). A list of n alike documents has about n^2 / 2 candidates, so a task first proposes a spanning forest
+of them only; each proposed pair is verified once on the full sets, and components are joined. Where a
+pair of a list's forest is no link, all candidates of the list that lie between different components are
+verified as well, so no link between components is lost.
 
 Defined results: a missing or empty text, or one of white space only, has no set: n_shingles is 0 and the
 document is its own component; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -203,7 +203,7 @@ def candidates(n: np.ndarray, pos: np.ndarray, cells: np.ndarray, label: np.ndar
 
 
 def _proposals(whole: bool):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     numbers = ("token", "lo", "hi", "sid", "label", "n", "pos")
 
     def pairs(columns, cells):
@@ -226,9 +226,8 @@ def _proposals(whole: bool):
             x, y = candidates(n[at], pos[at], cells[at], label[at], whole)
             a.append(x + starts[k])
             b.append(y + starts[k])
-        a, b = sid[np.concatenate(a)], sid[np.concatenate(b)]
-        distinct = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(distinct[0]), pa.array(distinct[1])], schema=schema)
+        x, a, b = np.concatenate(a), sid[np.concatenate(a)], sid[np.concatenate(b)]
+        return pa.RecordBatch.from_arrays([pa.array(token[x]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def run(batches):
         held, held_cells = np.empty((len(numbers), 0), np.int64), np.empty((0, CELLS), np.uint8)
@@ -251,7 +250,7 @@ def _proposals(whole: bool):
 
 
 def _propose(lists: DataFrame, sets: DataFrame, roots: DataFrame | None, whole: bool) -> DataFrame:
-    """(a, b): candidate pairs of different components; a spanning forest of each list's, or all."""
+    """(token, a, b): each list's candidate pairs of different components; a spanning forest of them, or all."""
     labelled = sets.withColumn("label", F.col("sid"))
     if roots is not None:
         labelled = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
@@ -260,7 +259,7 @@ def _propose(lists: DataFrame, sets: DataFrame, roots: DataFrame | None, whole:
     met = lists.join(labelled, "sid").withColumn("part", part).withColumn("other", F.explode(others))
     group = ["token", "lo", "hi"]
     met = met.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "sid", "label", "n", "pos", "cells")
-    return met.repartition(*group).sortWithinPartitions(*group, "n").mapInArrow(_proposals(whole), "a long, b long").distinct()
+    return met.repartition(*group).sortWithinPartitions(*group, "n").mapInArrow(_proposals(whole), "token long, a long, b long")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -274,20 +273,17 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def _links(lists: DataFrame, sets: DataFrame, bodies: DataFrame) -> DataFrame:
     """(a, b): verified links that connect what all links connect."""
-    done, roots, whole = None, None, False
-    while True:
-        pairs = _propose(lists, sets, roots, whole)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        now = stage(_verified(pairs, bodies), "verified").frame
-        done = now if done is None else done.unionByName(now)
-        links = done.where("linked").select("a", "b")
-        if whole:
-            return links
-        if now.where("linked").isEmpty():
-            whole = True
-        else:
-            roots = stage(connected_components(links), "roots").frame
+    forest = stage(_propose(lists, sets, None, False), "proposals").frame
+    known = stage(_verified(forest.select("a", "b").distinct(), bodies), "verified").frame
+    links, refused = known.where("linked").select("a", "b"), known.where("NOT linked").select("a", "b")
+    # Where all pairs of a list's forest are links, its candidates are connected already.
+    open_lists = forest.join(refused, ["a", "b"], "left_semi").select("token").distinct()
+    left = stage(lists.join(open_lists, "token", "left_semi"), "open-lists").frame
+    if left.isEmpty():
+        return links
+    rest = _propose(left, sets, connected_components(links), True).select("a", "b").distinct()
+    more = stage(_verified(rest.join(known, ["a", "b"], "left_anti"), bodies), "verified").frame
+    return links.unionByName(more.where("linked").select("a", "b"))
 
 
 def similar_groups(df: DataFrame, key: str, text: str = "text", size: int = 3, keep=()) -> DataFrame:
