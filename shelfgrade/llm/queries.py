@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, decontaminate, jaccard, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, url_filter
+from . import chat, decontaminate, jaccard, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, turn_repair, url_filter
 
 # Files of public tokenizers; a cluster names its own copy.
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -210,6 +210,17 @@ def op11_jaccard(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", size=3)
 
 
+@query()
+def op13_turn_repair(spark, sf_dir):
+    """Conversations of which damage leaves no row keep a row with zeros."""
+    turns = table(spark, sf_dir, "conversations")
+    found = turn_repair.repair(turn_repair.damaged(turns), "conv_id", "turn", "role", "text").withColumn("found", F.lit(True))
+    every = turns.select("conv_id").distinct()
+    joined = every.alias("e").join(found.alias("f"), F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("e.conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
