@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Window, functions as F
 
-from . import chat, decontaminate, jaccard, langid, pieces, secret_scan, sharding, simhash, top_products, toxicity, turn_repair, url_filter
+from . import chat, decontaminate, jaccard, langid, pieces, ranked_search, secret_scan, sharding, simhash, top_products, toxicity, turn_repair, url_filter
 
 # Files of public tokenizers; a cluster names its own copy.
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -210,6 +210,24 @@ def op11_jaccard(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", size=3)
 
 
+_SQL_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, {_SQL_TERMS} AS w FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM docs WHERE len(w) > 0),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_SQL_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY t),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM asked JOIN held USING (t) JOIN weights USING (t), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(r AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0) WHERE r <= 10
+""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", k=10)
+
+
 @query()
 def op13_turn_repair(spark, sf_dir):
     """Conversations of which damage leaves no row keep a row with zeros."""
