@@ -1,13 +1,14 @@
 """The best documents for each query by saturated term frequencies, found through hashed max-sketches.
 
-Index, one pass over the texts: a document's term counts fold into a sketch, whose coordinate ``hash mod
-width`` holds the largest count of its terms (a term's impact grows with its count, so this is the largest
-impact too; 255 stands for more). The width is the power of two that is at least ``ROOM`` times the number of
-distinct terms, so sketches grow with documents and stay sparse. The same pass counts in how many documents
-each term occurs.
+Index, one pass over the texts: a document's term counts fold into ``ROWS`` sketches with hashes of their own,
+whose coordinate ``hash mod width`` holds the largest count of its terms (a term's impact grows with its count,
+so this is the largest impact too; 255 stands for more). The width is the power of two that is at least ``ROOM``
+times the number of distinct terms, so sketches grow with documents and stay sparse; they are stored compressed.
+The same pass counts in how many documents each term occurs.
 
 Search, for blocks of queries: a block's terms are looked up in all sketches of a batch at once, and one matrix
-product gives upper bounds of all scores (coordinates hold at least the term's own count). The
+product gives upper bounds of all scores (coordinates hold at least the term's own count, and the least of a
+term's coordinates is taken). The
 ``FIRST`` documents of the highest bounds are scored exactly; the k-th best score is a query's threshold. Documents with
 a bound at or above the threshold follow in waves of descending bounds, each of which raises the threshold,
 until none is left; only the texts of such documents are read again. The wave size grows by ``GROWTH``.
@@ -36,6 +37,7 @@ from shelfgrade.operators.joins import hot_keys, join_counted
 from shelfgrade.staging import scope, scratch_path, stage
 
 ROOM = 4
+ROWS = 3
 FIRST = 32
 GROWTH = 8
 BLOCK_ITEMS = 256
@@ -57,19 +59,30 @@ class _Hashes(dict):
         return value
 
 
-def term_hashes(text: bytes, hashes: _Hashes) -> np.ndarray:
-    """The hashes of a text's terms, in order, as signed numbers."""
-    terms = text.translate(_TABLE).split()
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(_TABLE).split()
+
+
+def term_hashes(terms: list[bytes], hashes: _Hashes) -> np.ndarray:
+    """The hashes of terms, as signed numbers."""
     return np.fromiter(map(hashes.__getitem__, terms), np.uint64, len(terms)).view(np.int64)
 
 
-def sketch(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def coordinates(terms: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Where term hashes fold to: each sketch takes 20 bits of its own."""
+    return (terms >> (20 * row)) & (width - 1) if width <= 1 << 20 else (terms >> (11 * row)) & (width - 1)
+
+
+def sketches_of(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The largest count of each coordinate; terms that occur more often than 254 times count as 255."""
     width = 16
     while width < ROOM * len(terms):
         width *= 2
-    out = np.zeros(width, np.uint8)
-    np.maximum.at(out, terms & (width - 1), np.minimum(counts, 255).astype(np.uint8))
+    order = np.argsort(counts, kind="stable")
+    terms, counts = terms[order], np.minimum(counts[order], 255).astype(np.uint8)
+    out = np.zeros((ROWS, width), np.uint8)
+    for row in range(ROWS):
+        out[row, coordinates(terms, row, width)] = counts  # the last, largest count stays
     return out
 
 
@@ -83,38 +96,41 @@ def length_part(n, documents: int, all_terms: int):
     return 100 - 75 + (75 * n * documents) // all_terms
 
 
-def _texts(batches, hashes):
-    """(rows, term hashes of each) of slices whose texts are bounded together."""
+def _texts(batches):
+    """(rows, terms of each) of slices whose texts are bounded together."""
     for batch in batches:
         first, held = 0, 0
         texts = batch.column("_text")
         for i in range(batch.num_rows):
             size = len(texts[i].as_buffer())
             if i > first and held + size > TEXT_BYTES:
-                yield batch.slice(first, i - first), [term_hashes(t, hashes) for t in texts.slice(first, i - first).to_pylist()]
+                yield batch.slice(first, i - first), map(terms_of, texts.slice(first, i - first).to_pylist())
                 first, held = i, 0
             held += size
         if first < batch.num_rows:
-            yield batch.slice(first), [term_hashes(t, hashes) for t in texts.slice(first).to_pylist()]
+            yield batch.slice(first), map(terms_of, texts.slice(first).to_pylist())
 
 
 def build_index(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (hash, n, sketch) of documents, and (term, df) of parts of the documents."""
+    """Rows (hash, n, width, sketches) of documents, and (term, df) of parts of the documents."""
     kept = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("_text"))
 
     def run(batches):
-        hashes = _Hashes()
+        hashes, codec = _Hashes(), pa.Codec("zstd")
         terms, sums = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def counted():
             m = len(terms)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(terms), pa.array(sums)], names=names)
-
-        for rows, found in _texts(batches, hashes):
-            own = [np.unique(f, return_counts=True) for f in found]
-            sketches = [sketch(t, c).tobytes() for t, c in own]
-            sizes = pa.array([len(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), sizes, pa.array(sketches, pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], names=names)
+            none = pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(m, pa.binary()), pa.array(terms), pa.array(sums)], names=names)
+
+        for rows, found in _texts(batches):
+            own = [np.unique(term_hashes(f, hashes), return_counts=True) for f in found]
+            folded = [sketches_of(t, c) for t, c in own]
+            packed = [codec.compress(f.tobytes(), asbytes=True) for f in folded]
+            sizes, widths = (pa.array(v, pa.int64()) for v in ([int(c.sum()) for _, c in own], [f.shape[1] for f in folded]))
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), sizes, widths, pa.array(packed, pa.binary()), none, none], names=names)
             now, n = np.unique(np.concatenate([t for t, _ in own]), return_counts=True)
             terms, where = np.unique(np.concatenate([terms, now]), return_inverse=True)
             sums = np.bincount(where, weights=np.concatenate([sums, n]), minlength=len(terms)).astype(np.int64)
@@ -124,26 +140,27 @@ def build_index(docs: DataFrame, text: str) -> DataFrame:
         if len(terms):
             yield counted()
 
-    names = ["hash", "n", "sketch", "term", "df"]
-    return kept.mapInArrow(run, "hash long, n long, sketch binary, term long, df long")
+    names = ["hash", "n", "width", "sketches", "term", "df"]
+    return kept.mapInArrow(run, "hash long, n long, width long, sketches binary, term long, df long")
 
 
 class Block:
     """Some queries: their terms, and weights times occurrences as a matrix terms x queries."""
 
-    def __init__(self, items: list[np.ndarray], frequency: dict[int, int], documents: int, all_terms: int):
+    def __init__(self, items: list[list[bytes]], frequency: dict[int, int], documents: int, all_terms: int):
         self.documents, self.all_terms = documents, all_terms
-        self.terms = np.unique(np.concatenate([*items, np.empty(0, np.int64)]))
-        self.terms = self.terms[[int(t) in frequency for t in self.terms]] if len(self.terms) else self.terms
+        words = sorted({w for item in items for w in item})
+        hashed = term_hashes(words, _Hashes())
+        known = [i for i, h in enumerate(hashed) if int(h) in frequency]
+        self.terms = hashed[known]
+        # Places from 1, as 0 would be passed over.
+        self.places = {words[i]: place for place, i in enumerate(known, 1)}
         weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * frequency[int(t)] + 1))) for t in self.terms], np.int64)
         self.of, self.weights = [], []
         for item in items:
-            terms, times = np.unique(item, return_counts=True)
-            at = np.searchsorted(self.terms, terms)
-            held = at < len(self.terms)
-            held[held] = self.terms[at[held]] == terms[held]
-            self.of.append(at[held])
-            self.weights.append(weight[at[held]] * times[held])
+            at, times = np.unique([self.places[w] - 1 for w in item if w in self.places], return_counts=True)
+            self.of.append(at.astype(np.int64))
+            self.weights.append(weight[self.of[-1]] * times)
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.terms), len(self.of)), np.float32)
@@ -152,22 +169,26 @@ class Block:
         return out
 
     def bounds(self, sketches: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        """Upper bounds, documents x queries, of documents whose sketches have one width."""
-        counts = sketches[:, self.terms & (sketches.shape[1] - 1)].astype(np.float32)
+        """Upper bounds, documents x queries, of documents x rows x coordinates of one width."""
+        width = sketches.shape[2]
+        counts = sketches[:, 0, coordinates(self.terms, 0, width)]
+        for row in range(1, ROWS):
+            np.minimum(counts, sketches[:, row, coordinates(self.terms, row, width)], out=counts)
+        many, counts = counts == 255, counts.astype(np.float32)
         parts = (8 * length_part(sizes, self.documents, self.all_terms)).astype(np.float32)[:, None]
-        highest = np.where(counts < 255, 1e9 * counts / (1000 * counts + parts), np.float32(1e6))
+        highest = np.where(many, np.float32(1e6), 1e9 * counts / (1000 * counts + parts))
         # Single precision errs by less than the margin.
         return highest @ matrix * 1.001
 
-    def score(self, found: np.ndarray, query: int) -> int:
-        """The exact score of a document with these term hashes."""
-        terms, counts = found
-        part = int(length_part(int(counts.sum()), self.documents, self.all_terms))
-        wanted = self.terms[self.of[query]]
-        at = np.searchsorted(terms, wanted)
-        at[at == len(terms)] = 0
-        held = terms[at] == wanted
-        return int((self.weights[query][held] * impact(counts[at[held]], part)).sum())
+    def counts(self, terms: list[bytes]) -> np.ndarray:
+        """How often each term of the block is among ``terms``."""
+        found = np.fromiter(filter(None, map(self.places.get, terms)), np.int64)
+        return np.bincount(found, minlength=len(self.terms) + 1)[1:]
+
+    def score(self, counts: np.ndarray, n: int, query: int) -> int:
+        """The exact score of a document of n terms with these counts."""
+        found = counts[self.of[query]]
+        return int((self.weights[query] * impact(found, int(length_part(n, self.documents, self.all_terms)))).sum())
 
 
 def _bounded(rows: DataFrame, block: Block, least: list[float], k: int | None) -> DataFrame:
@@ -175,17 +196,18 @@ def _bounded(rows: DataFrame, block: Block, least: list[float], k: int | None) -
     floors = np.maximum(np.array(least, np.float64), 1.0)
 
     def run(batches):
-        matrix = block.matrix()
+        matrix, codec = block.matrix(), pa.Codec("zstd")
         for batch in batches:
-            sketches = batch.column("sketch")
-            widths = np.array([len(s.as_buffer()) for s in sketches])
-            hashes, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "n"))
+            packed = batch.column("sketches")
+            hashes, sizes, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "n", "width"))
             for width in np.unique(widths):
                 places = np.flatnonzero(widths == width)
-                step = max(1, CELLS // max(1, len(block.terms) + len(block.of), width // 4))
+                step = max(1, CELLS // max(1, len(block.terms) + len(block.of), ROWS * width))
                 for at in range(0, len(places), step):
                     own = places[at : at + step]
-                    held = np.frombuffer(b"".join(sketches.take(pa.array(own)).to_pylist()), np.uint8).reshape(-1, width)
+                    size = int(ROWS * width)
+                    held = b"".join(codec.decompress(packed[int(i)].as_buffer(), size, asbytes=True) for i in own)
+                    held = np.frombuffer(held, np.uint8).reshape(-1, ROWS, width)
                     bounds = block.bounds(held, sizes[own], matrix)
                     fits = bounds >= floors
                     if k is not None and k < len(own):
@@ -194,7 +216,7 @@ def _bounded(rows: DataFrame, block: Block, least: list[float], k: int | None) -
                     d, q = np.nonzero(fits)
                     yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(hashes[own][d]), pa.array(bounds[d, q].astype(np.float64))], names=["query", "hash", "bound"])
 
-    return rows.select("hash", "n", "sketch").mapInArrow(run, "query int, hash long, bound double")
+    return rows.select("hash", "n", "width", "sketches").mapInArrow(run, "query int, hash long, bound double")
 
 
 def _scored(docs: DataFrame, asked: DataFrame, hot: DataFrame, block: Block) -> DataFrame:
@@ -203,13 +225,12 @@ def _scored(docs: DataFrame, asked: DataFrame, hot: DataFrame, block: Block) ->
     met = join_counted(docs, queries, ["hash"], ["key"], hot=hot)
 
     def run(batches):
-        hashes = _Hashes()
-        for rows, found in _texts(batches, hashes):
+        for rows, found in _texts(batches):
             out, at = [], []
             for i, (own, asked_by) in enumerate(zip(found, rows.column("queries").to_pylist())):
-                terms = np.unique(own, return_counts=True)
+                counts = block.counts(own)
                 for q in asked_by:
-                    if score := block.score(terms, q):
+                    if score := block.score(counts, len(own), q):
                         out.append((q, score))
                         at.append(i)
             keys = rows.column("key").take(pa.array(at, pa.int64()))
@@ -254,11 +275,11 @@ def _search(docs: DataFrame, index: DataFrame, hot: DataFrame, block: Block, k:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """Blocks of (id, term hashes), from one row of the table at a time."""
-    hashes, block, terms = _Hashes(), [], 0
+    """Blocks of (id, terms), from one row of the table at a time."""
+    block, terms = [], 0
     for row in items.toLocalIterator():
-        found = term_hashes(row["text"].encode(), hashes)
-        size = len(np.unique(found))
+        found = terms_of(row["text"].encode())
+        size = len(set(found))
         if block and (len(block) == BLOCK_ITEMS or terms + size > BLOCK_TERMS):
             yield block
             block, terms = [], 0
@@ -285,10 +306,10 @@ def ranked_search(docs: DataFrame, key: str, items: DataFrame, item_key: str, te
         frequencies = stage(both.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")), "frequencies").frame
         distinct = stage(index.dropDuplicates(["hash"]), "distinct-sketches").frame
         for block in _blocks(queries) if documents else ():
-            terms = np.unique(np.concatenate([found for _, found in block]))
+            terms = set(term_hashes([t for _, found in block for t in found], _Hashes()).tolist())
             blocks += 1
             with scope(spark):
-                asked = spark.createDataFrame([(int(t),) for t in terms], "term long")
+                asked = spark.createDataFrame([(t,) for t in terms], "term long")
                 known = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(asked), "term").collect()}  # at most a block's terms
                 found = _search(named, distinct, hot, Block([f for _, f in block], known, documents, all_terms), k)
                 ids = spark.createDataFrame([(q, own) for q, (own, _) in enumerate(block)], f"query int, id {id_type.simpleString()}")
