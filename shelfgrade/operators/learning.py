@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizerModel, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -18,6 +18,7 @@ from ..functions.grades import label_grade
 from ..functions.text import col, corpus_text
 from ..sources.sinks import append_metrics
 from ..staging import scratch_path, stage
+from .boosting import BoostedTrees, fit_boosted
 from .evaluation import classification_report, confusion_matrix, metrics
 from .sampling import sample_rows, stratified_split
 
@@ -44,21 +45,13 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def train_boosted(train: DataFrame, columns: Sequence[str] = FEATURES, label: str = "nutriscore_label", seed: int = SPLIT_SEED, parallelism: int = 5, **settings) -> PipelineModel:
-    """Scaled features and one boosted-tree model per class."""
+def train_boosted(train: DataFrame, columns: Sequence[str] = FEATURES, label: str = "nutriscore_label", seed: int = SPLIT_SEED, bins_from: DataFrame | None = None, **settings) -> BoostedTrees:
+    """Boosted trees, one a class and round. ``train`` is the bounded fitting sample; the bins are those of
+    ``bins_from``, all training rows, if given."""
     s = {**BOOSTING, **settings}
     held = [c for c in columns if c in train.columns]
-    trees = GBTClassifier(
-        maxIter=s["max_iter"], maxDepth=s["max_depth"], stepSize=s["step_size"],
-        subsamplingRate=s["subsample"], featureSubsetStrategy=s["feature_subset"], seed=seed,
-    )
-    stages = [
-        VectorAssembler(inputCols=held, outputCol="raw", handleInvalid="keep"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        OneVsRest(classifier=trees, labelCol=label, featuresCol="features", predictionCol="prediction", parallelism=parallelism),
-    ]
-    rows = train.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in held], col(label).cast("double").alias(label))
-    return Pipeline(stages=stages).fit(rows)
+    share = float(s.pop("feature_subset"))
+    return fit_boosted(train if bins_from is None else bins_from, train, held, label, feature_subset=share, seed=seed, **s)
 
 
 def train_forest(train: DataFrame, columns: Sequence[str] = FEATURES, label: str = "nutriscore_label", seed: int = SPLIT_SEED, **settings) -> PipelineModel:
@@ -78,17 +71,19 @@ def train_forest(train: DataFrame, columns: Sequence[str] = FEATURES, label: str
     return Pipeline(stages=stages).fit(rows)
 
 
-def model_columns(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+def model_columns(model: PipelineModel | BoostedTrees) -> list[str]:
+    return model.columns if isinstance(model, BoostedTrees) else model.stages[0].getInputCols()
 
 
-def score_boosted(model: PipelineModel, df: DataFrame, grade: str = "predicted_nutriscore") -> DataFrame:
+def score_boosted(model: PipelineModel | BoostedTrees, df: DataFrame, grade: str = "predicted_nutriscore") -> DataFrame:
     """Adds the predicted grade; features that are missing count as 0."""
     held = model_columns(model)
     names = {c: f"_feature_{c}" for c in held}
     values = {
         names[c]: F.coalesce(col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in held
     }
+    if isinstance(model, BoostedTrees):
+        return df.withColumn(grade, label_grade(model.predicted([F.coalesce(F.nanvl(v, F.lit(None)), F.lit(0.0)) for v in values.values()])))
     scored = df.withColumns(values)
     for s in model.stages:
         scored = s.transform(scored, {s.inputCols: list(names.values())}) if isinstance(s, VectorAssembler) else s.transform(scored)
@@ -96,14 +91,12 @@ def score_boosted(model: PipelineModel, df: DataFrame, grade: str = "predicted_n
     return scored.withColumn(grade, label_grade("prediction")).drop(*[c for c in done if c not in df.columns])
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Features by importance, averaged over the per-class models."""
+def feature_importance(model: PipelineModel | BoostedTrees) -> DataFrame:
+    """Features by their share of the importance: mean gain of a boosted model, impurity of a forest."""
     from pyspark.sql import SparkSession
 
-    ovr = model.stages[-1]
-    parts = [m.featureImportances.toArray() for m in ovr.models] if isinstance(ovr, OneVsRestModel) else [ovr.featureImportances.toArray()]
-    mean = sum(parts) / len(parts)
-    rows = [(c, float(v)) for c, v in zip(model_columns(model), mean)]
+    shares = model.importance() if isinstance(model, BoostedTrees) else model.stages[-1].featureImportances.toArray()
+    rows = [(c, float(v)) for c, v in zip(model_columns(model), shares)]
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
@@ -208,10 +201,16 @@ def _finish(model, scored, actual, predicted, domain, name, path, metrics_path,
     return Trained(model, scored, report, figures["accuracy"], figures["f1_score"])
 
 
-def train_and_save(df: DataFrame, key: str, path: str, metrics_path: str | None = None, label: str = "nutriscore_label", grade: str = "nutriscore_grade", columns: Sequence[str] = FEATURES, fit_rows: int = FIT_ROWS, train=train_forest, **settings) -> Trained:
-    """Split, fit on at most ``fit_rows`` training rows, score all test rows, record, save."""
+def train_and_save(df: DataFrame, key: str, path: str, metrics_path: str | None = None, label: str = "nutriscore_label", grade: str = "nutriscore_grade", columns: Sequence[str] = FEATURES, fit_rows: int = FIT_ROWS, train=train_boosted, **settings) -> Trained:
+    """Split, fit on at most ``fit_rows`` training rows, score all test rows, record, save.
+
+    The split rows and the model's nodes are staged: they are the caller's scope to drop.
+    """
     rows = stage(stratified_split(df, label, key), "labelled").frame
-    model = train(sample_rows(rows.where("NOT is_test"), fit_rows, key), columns, label, **settings)
+    learn = rows.where("NOT is_test")
+    if train is train_boosted:
+        settings = {"bins_from": learn, **settings}
+    model = train(sample_rows(learn, fit_rows, key), columns, label, **settings)
     scored = score_boosted(model, rows.where("is_test"))
     return _finish(model, scored, grade, "predicted_nutriscore", GRADES, train.__name__, path, metrics_path, n_samples=fit_rows)
 
@@ -229,13 +228,21 @@ def train_text_and_save(df: DataFrame, key: str, path: str, metrics_path: str |
     return _finish(model, scored, "actual", "predicted", names, "logistic", path, metrics_path, n_samples=fit_rows, encoder="hashed words" if encoder else None)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        from pyspark.sql import SparkSession
 
+        model.nodes(SparkSession.getActiveSession()).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
 
-def load_model(spark, path: str) -> PipelineModel:
+
+def load_model(spark, path: str) -> PipelineModel | BoostedTrees:
+    """A saved model of either kind."""
     from ..sources.files import exists
 
     if not exists(spark, path):
         raise FileNotFoundError(f"no model at {path}; train one first")
-    return PipelineModel.load(path)
+    if exists(spark, f"{path}/stages"):
+        return PipelineModel.load(path)
+    return BoostedTrees.from_nodes(spark.read.parquet(path))

@@ -1,10 +1,11 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgrade.operators import evaluation, learning, registry, statistics
+from shelfgrade.operators import boosting, evaluation, learning, registry, statistics
 from shelfgrade.plans.sql import run_sql
 from shelfgrade.schema import rename_coalesce, select_available
 from shelfgrade.sources import files, payloads, sinks
@@ -195,7 +196,7 @@ def test_report_with_absent_classes(spark):
 def test_boosted_model_is_saved_and_scores_missing_features_as_zero(spark, folder):
     rows = [(float(i % 5), float(i % 3), i % 5) for i in range(200)]
     df = spark.createDataFrame(rows, "sugars_100g double, salt_100g double, nutriscore_label int")
-    model = learning.train_boosted(df, max_iter=2, max_depth=3)
+    model = learning.train_boosted(df, max_iter=8, max_depth=3)
     scored = learning.score_boosted(model, df.withColumn("grade", F.substring(F.lit("abcde"), 1, 1)))
     wrong = scored.where("substr('abcde', nutriscore_label + 1, 1) <> predicted_nutriscore").count()
     assert wrong == 0
@@ -209,6 +210,53 @@ def test_boosted_model_is_saved_and_scores_missing_features_as_zero(spark, folde
         learning.load_model(spark, f"{folder}/none")
 
 
+def test_boosting_beats_a_forest_and_one_guess(spark):
+    """Five classes by the sum of two features and the sign of a third: no single cut tells them."""
+    rng = np.random.default_rng(3)
+    x = rng.random((2500, 4))
+    label = np.clip(((x[:, 0] + x[:, 1]) * 2.5).astype(int) + (x[:, 2] > 0.5) - 1, 0, 4)
+    rows = [(i, *map(float, v), int(y)) for i, (v, y) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, noise double, nutriscore_label int")
+    test, columns = df.where("id % 5 = 0"), ["a", "b", "c", "noise"]
+    right = {}
+    for train in (learning.train_boosted, learning.train_forest):
+        model = train(df.where("id % 5 <> 0"), columns, max_iter=40)
+        scored = learning.score_boosted(model, test, "grade")
+        right[train.__name__] = scored.where("grade = substr('abcde', nutriscore_label + 1, 1)").count() / 500
+        if train is learning.train_boosted:
+            order = [r["feature"] for r in learning.feature_importance(model).collect()]
+            assert order[-1] == "noise"
+    assert right["train_boosted"] > 0.85 and right["train_boosted"] > right["train_forest"]
+
+
+def test_trees_follow_gradients_and_the_order_of_rows_does_not_matter():
+    rng = np.random.default_rng(4)
+    x, y = rng.random((600, 3)), rng.integers(0, 3, 600)
+    y[x[:, 1] > 0.5] = 2
+    edges = [np.quantile(x[:, f], np.arange(1, 16) / 16) for f in range(3)]
+    loss = []
+    for rounds in (1, 5, 25):
+        trees = list(boosting.boost(x, y, edges, 3, rounds, 3, 0.3, 1.0, 1.0, 7))
+        arrays = [np.array([t[k] for t in trees]) for k in range(2, 6)]
+        model = boosting.BoostedTrees(["a", "b", "c"], 3, np.array([t[1] for t in trees]), *arrays)
+        margins = model.margins(x)
+        loss.append(float((np.log(np.exp(margins).sum(axis=1)) - margins[np.arange(600), y]).mean()))
+    assert np.log(3) > loss[0] > loss[1] > loss[2]
+    mixed = rng.permutation(600)
+    again = list(boosting.boost(x[mixed], y[mixed], edges, 3, 25, 3, 0.3, 1.0, 1.0, 7))
+    assert all(np.allclose(a[k], b[k]) for a, b in zip(trees, again) for k in range(2, 6))
+    # The root of the first tree cuts where a plain search over all cuts finds the largest gain.
+    g, h = 1 / 3 - (y == 0), np.full(600, 4 / 9)
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        parts = ((g[m].sum(), h[m].sum()) for m in (left, ~left))
+        return sum(a * a / (b + 1) for a, b in parts) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max(((gain(f, c), f, c) for f in range(3) for c in edges[f]))
+    assert (trees[0][2][0], trees[0][3][0]) == best[1:] and np.isclose(trees[0][4][0], best[0])
+
+
 def test_encoder_is_called_per_batch_and_logistic_scores(spark):
     def load():
         return lambda texts: [[float(len(t)), 1.0 if "a" in t else -1.0] for t in texts]
@@ -226,7 +274,7 @@ def test_train_and_save(spark, folder):
     rows = [(i, float(i % 5), float(i % 3), i % 5, "abcde"[i % 5]) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, sugars_100g double, salt_100g double, nutriscore_label int, nutriscore_grade string")
     for train in (learning.train_forest, learning.train_boosted):
-        done = learning.train_and_save(df, "id", f"{folder}/{train.__name__}", f"{folder}/metrics", train=train, fit_rows=100, max_iter=4, max_depth=3)
+        done = learning.train_and_save(df, "id", f"{folder}/{train.__name__}", f"{folder}/metrics", train=train, fit_rows=100, max_iter=8, max_depth=3)
         assert done.accuracy == 1.0 and done.scored.count() == 60
         again = learning.load_model(spark, f"{folder}/{train.__name__}")
         assert learning.score_boosted(again, df).where("predicted_nutriscore <> nutriscore_grade").count() == 0
