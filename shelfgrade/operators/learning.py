@@ -192,8 +192,8 @@ class Trained:
 
 
 def _finish(model, scored, actual, predicted, domain, name, path, metrics_path, **extra) -> Trained:
-    report = classification_report(confusion_matrix(scored, actual, predicted, domain))
-    figures = metrics(confusion_matrix(scored, actual, predicted, domain))
+    matrix = stage(confusion_matrix(scored, actual, predicted, domain), "confusion").frame  # all rows are scored once
+    report, figures = classification_report(matrix), metrics(matrix)
     spark = scored.sparkSession
     if metrics_path:
         append_metrics(spark, metrics_path, name, figures["accuracy"], figures["f1_score"], **extra)
