@@ -306,7 +306,8 @@ def _judged(rows: DataFrame, least: float) -> DataFrame:
 def redact(df: DataFrame, text: str, mark: str = "<secret>", least: float = LEAST) -> DataFrame:
     """The same rows and columns, secrets in ``text`` replaced by ``mark``; a missing text stays missing."""
     rest = [c for c in df.columns if c != text]
-    rows = df.select(F.struct(*rest).alias("_rest") if rest else F.lit(0).alias("_rest"), F.col(text).alias("_text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    rows = df.select(others.alias("_rest"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
         for b in batches:

@@ -204,6 +204,12 @@ def first_copies(df: DataFrame, key: str, text: str = "text", shingle: int = 3,
     """One row of each group, the one with the smallest key; all columns stay as they are."""
     named = _grouped(df, key, text, shingle, radius)[1]
     first = named.select(F.struct("first.key", "first.hash").alias("_first")).distinct()
-    own = df.withColumn("_first", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")))
+    # The other columns travel as one, so that no name can clash.
+    rest = [c for c in df.columns if c not in (key, text)]
+    mark = F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash")).alias("_first")
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    own = df.select(mark, others.alias("_rest"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     # Of repeated rows one stays; they meet in the partition that the join made.
-    return own.join(first, "_first", "left_semi").dropDuplicates(["_first"]).drop("_first")
+    kept = own.join(first, "_first", "left_semi").dropDuplicates(["_first"])
+    place = {key: "_key", text: "_text"}
+    return kept.select(*[F.col(place[c] if c in place else f"_rest.`{c}`").alias(c) for c in df.columns])

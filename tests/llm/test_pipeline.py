@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, on whole small tables and on odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from shelfgrade.llm import pieces, queries, secret_scan
 from tests.llm import brute
@@ -52,13 +54,14 @@ def test_run(spark):
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, _text string, fp long, ids string, pos int"
+CLASHES = ("_mark", "_first", "_doc", "_hash", "_rest", "_key", "a.b")
 
 
 def test_stages_on_odd_rows(spark):
     texts = [None, "", "password = hunter2hunter2", "x " * 30000, "same words again here", "same words again here", "\n", "😀"]
     data = [(i, t, "en", None, None, 0.5, "clash", 1, "c", 2) for i, t in enumerate(texts)] + [(None, "no id", None, "s", 5, None, None, None, None, None)]
     data += [data[4], data[8]]
-    docs = spark.createDataFrame(data, ODD).repartition(3)
+    docs = spark.createDataFrame(data, ODD).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES}).repartition(3)
     for step, want in [
         (corpus_pipeline.reject_toxic, 11),
         (corpus_pipeline.drop_near_copies, 6),
@@ -69,5 +72,7 @@ def test_stages_on_odd_rows(spark):
         out = step(spark, docs, FOLDER)
         assert out.columns[: len(docs.columns)] == docs.columns
         assert out.count() == want, step.__name__
+        kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+        assert out.select(*kept).exceptAll(docs.select(*kept)).isEmpty(), step.__name__
         assert step(spark, docs.limit(0), FOLDER).count() == 0
     assert {r.text for r in corpus_pipeline.mask_secrets(spark, docs, FOLDER).collect()} >= {None, "", "<secret>"}
