@@ -52,7 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     mark = F.struct(F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash")).alias("_mark")
     found = decontaminate.contamination(docs.select(mark, "text"), queries.table(spark, sf_dir, "benchmark"), ["_mark"], size=queries.WINDOW)
     hit = found.where("n_hit > 0").select("_mark").distinct()
-    return docs.withColumn("_mark", mark).join(hit, "_mark", "left_anti").select(docs.columns)
+    return docs.select(mark, _whole(docs)).join(hit, "_mark", "left_anti").select("_doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
