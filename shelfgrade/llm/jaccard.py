@@ -43,6 +43,7 @@ BLOCK = 1024
 SHORT = 8  # rows of lists whose pairs are all proposed
 CELLS = 128
 WORDS_HELD = 1 << 19  # word hashes a worker remembers
+FILTER_WORDS = 1 << 17
 TEXT_BYTES = 1 << 23  # of texts that are split at once
 _NONE = np.empty(0, np.int64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -286,6 +287,20 @@ def _links(lists: DataFrame, sets: DataFrame, bodies: DataFrame) -> DataFrame:
     return links.unionByName(more.where("linked").select("a", "b"))
 
 
+def _likely(rows: DataFrame, asked: DataFrame, hashed: str) -> DataFrame:
+    """Rows whose hash may be among those of ``asked``, so that few other texts are shuffled.
+
+    The filter has ``FILTER_WORDS`` words of 64 bits at most, whatever is asked for; where it is full, all
+    rows pass and the join behind does the work.
+    """
+    word = F.pmod(F.col(hashed), F.lit(FILTER_WORDS)).alias("_word")
+    place = F.shiftrightunsigned(F.col(hashed), 40).bitwiseAND(F.lit(63)).cast("int")
+    bit = F.lit(1).cast("long")
+    bits = asked.select(word, F.call_function("shiftleft", bit, place).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(F.call_function("shiftrightunsigned", F.col("_bits"), place).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def similar_groups(df: DataFrame, key: str, text: str = "text", size: int = 3, keep=()) -> DataFrame:
     """The key and ``keep`` columns of every row, n_shingles, and the component_id of its group."""
     spark = df.sparkSession
@@ -304,7 +319,8 @@ def similar_groups(df: DataFrame, key: str, text: str = "text", size: int = 3, k
         lists = stage(posts.join(sizes, "token").select("token", "sid", "pos", parts.alias("parts")), "lists").frame
         # The whole sets of documents in some list; one text of each is read again.
         asked = stage(lists.select("sid").distinct().join(sets.select("sid", "_hash", "n", "cells"), "sid"), "asked").frame
-        found = texts.select("_hash", "_full").join(asked.select("sid", "_hash"), "_hash").dropDuplicates(["sid"])
+        likely = _likely(texts.select("_hash", "_full"), asked, "_hash")
+        found = likely.join(asked.select("sid", "_hash"), "_hash").dropDuplicates(["sid"])
         bodies = stage(with_shingles(found.select("sid", "_full"), "_full", "sid", size), "bodies").frame
         links = _links(lists, asked.select("sid", "n", "cells"), bodies)
         roots = connected_components(links)

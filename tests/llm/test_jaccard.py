@@ -101,3 +101,11 @@ def test_two_thirds_of_the_rows_are_copies(spark):
     got = {r.doc_id: r.component_id for r in jaccard.similar_groups(df, "doc_id").collect()}
     assert got == {i: 1 if i % 3 else i for i in range(6000)}
     assert hot_keys(df, ["text"]).count() == 1
+
+
+def test_likely_rows_hold_all_that_are_asked_for(spark):
+    rows = spark.range(20_000).selectExpr("id", "xxhash64(id) AS h")
+    asked = rows.where("id % 50 = 0")
+    passed = {r.id for r in jaccard._likely(rows, asked, "h").collect()}
+    assert {i for i in range(0, 20_000, 50)} <= passed and len(passed) < 600
+    assert jaccard._likely(rows, asked.limit(0), "h").count() == 0
