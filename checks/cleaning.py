@@ -503,3 +503,28 @@ def jdbc_rows(spark, folder):
     df = views.products(spark, folder).withColumnRenamed("saturated_fat_100g", "saturated-fat_100g")
     wanted = ["code", "product_name", "nutriscore_grade", "saturated_fat_100g", "predicted_nutriscore", "additives_n"]
     return sinks.jdbc_rows(df, wanted, {"saturated_fat_100g": ("saturated-fat_100g",)})
+
+
+@query("empty_input", "SELECT p AS profile, e AS outcome FROM (VALUES ('strict', 'no products to clean'), ('basic', 'no products to clean'), ('region', 'no rows'), ('batch', 'no products to clean')) AS v(p, e) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity < 0)")
+def empty_input(spark, folder):
+    # Three profiles fail on a dump without rows; the regional one, which counts nothing, gives an empty table.
+    raw = views.raw_products(spark, folder)
+    none = raw.where(F.col("code").cast("string") == "no such code")
+    ways = {"strict": profiles.clean_strict, "basic": profiles.clean_basic, "batch": profiles.clean_batch}
+    said = [("region", "no rows" if profiles.clean_region(none, ROW).isEmpty() else "rows")]
+    for name, clean in ways.items():
+        try:
+            clean(none, ROW)
+        except ValueError as error:
+            said.append((name, str(error)))
+    return spark.createDataFrame(said, "profile string, outcome string")
+
+
+@query("part_files", WITH_PRODUCTS + "SELECT nutriscore_grade, count(*) AS n_rows, 1 AS n_files FROM products GROUP BY nutriscore_grade")
+def part_files(spark, folder):
+    # One folder a grade, one file a folder, and no row lost.
+    path = scratch_path(spark, "by-grade")
+    sinks.write_parquet(views.products(spark, folder).repartition("nutriscore_grade"), path, "nutriscore_grade")
+    written = spark.read.parquet(path).groupBy("nutriscore_grade").agg(F.count("*").alias("n_rows"))
+    counts = [(r["nutriscore_grade"], sinks.part_files(spark, f"{path}/nutriscore_grade={r['nutriscore_grade']}")) for r in written.collect()]  # a row a grade
+    return written.join(spark.createDataFrame(counts, "nutriscore_grade string, n_files int"), "nutriscore_grade")
