@@ -27,7 +27,6 @@ DIMS = 384
 SIZE = 4096
 EXTRA = 16  # directions carried beside those that are kept
 PASSES = 3
-ROWS = 128  # texts worked on at a time
 
 
 def word_buckets(text: str = "text", size: int = SIZE) -> Column:
@@ -36,14 +35,13 @@ def word_buckets(text: str = "text", size: int = SIZE) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
 
 
-def _unit_rows(texts: list, weights: np.ndarray) -> np.ndarray:
-    """One row a text: (1 + ln count) x weight, scaled to length 1; all 0 without a weighted word."""
-    rows = np.zeros((len(texts), len(weights)))
-    for row, text in zip(rows, texts):
-        at, counts = np.unique(np.asarray(text, dtype=np.int64), return_counts=True)
-        row[at] = (1 + np.log(counts)) * weights[at]
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, lengths, out=rows, where=lengths > 0)
+def _unit_text(text: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and its (1 + ln count) x weight, scaled to length 1; none without a weighted word."""
+    counts = np.bincount(text)
+    at = np.flatnonzero(counts)
+    values = (1 + np.log(counts[at])) * weights[at]
+    length = np.sqrt(values @ values)
+    return (at, values / length) if length else (at[:0], values[:0])
 
 
 def _summed(buckets: DataFrame, weights: np.ndarray, basis: np.ndarray, tasks: int) -> tuple[np.ndarray, float]:
@@ -53,11 +51,11 @@ def _summed(buckets: DataFrame, weights: np.ndarray, basis: np.ndarray, tasks: i
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, squares = np.zeros((size, width)), 0.0
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                some = batch.column(0).slice(first, ROWS)
-                rows = _unit_rows([s.values.to_numpy() for s in some], weights)
-                total += rows.T @ (rows @ basis)
-                squares += float((rows * rows).sum())
+            # A text touches only the rows of its own buckets.
+            for text in batch.column(0):
+                at, values = _unit_text(text.values.to_numpy(), weights)
+                total[at] += np.outer(values, values @ basis[at])
+                squares += float(values @ values)
         # The squared lengths go in a row of their own, under the number behind the last bucket.
         total = np.vstack([total, np.full((1, width), squares)])
         held = np.flatnonzero(total.any(axis=1))
@@ -133,10 +131,11 @@ def embed_texts(df: DataFrame, model: TextDirections, text: str = "text", vector
     @F.pandas_udf("array<float>")
     def projected(buckets: pd.Series) -> pd.Series:
         out: list = []
-        for first in range(0, len(buckets), ROWS):
-            dense = _unit_rows(buckets.iloc[first : first + ROWS].tolist(), weights) @ directions
-            lengths = np.linalg.norm(dense, axis=1, keepdims=True)
-            out.extend(np.divide(dense, lengths, out=np.zeros_like(dense), where=lengths > 1e-9).astype(np.float32))
+        for text in buckets:
+            at, values = _unit_text(np.asarray(text, dtype=np.int64), weights)
+            dense = values @ directions[at]
+            length = np.sqrt(dense @ dense)
+            out.append((dense / length if length > 1e-9 else np.zeros_like(dense)).astype(np.float32))
         return pd.Series(out, index=buckets.index)
 
     return df.withColumn(vector, projected(word_buckets(text, len(weights))))
