@@ -11,8 +11,8 @@ from shelfgrade.operators.substitutes import find_substitutes
 from shelfgrade.plans import views
 from shelfgrade.plans.sql import presets, run_preset, run_sql
 from shelfgrade.plans.views import PRODUCTS, ROW
-from shelfgrade.sources import payloads
-from shelfgrade.staging import stage
+from shelfgrade.sources import keyed, payloads
+from shelfgrade.staging import scratch_path, stage
 
 from .registry import ORDER, WITH_PRODUCTS, query, rounded
 
@@ -248,3 +248,24 @@ def compare_pairs(spark, folder):
 )
 def compare_radar(spark, folder):
     return rounded(compare.pair_shapes(_pairs(spark, folder), views.products(spark, folder), ROW), "share_1", "share_2")
+
+
+ASKED = ["5-3", "1-1", "0-0", "5-99", ""]
+
+
+@query(
+    "lookup_keyed",
+    WITH_PRODUCTS
+    + f"SELECT asked, count(code) AS n, true AS read_little FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)})' for a in ASKED)}) AS v(asked) LEFT JOIN products ON code = asked GROUP BY asked",
+)
+def lookup_keyed(spark, folder):
+    # Present and absent keys of a table written by key: under 5 % of its rows are read.
+    products = views.products(spark, folder)
+    path = scratch_path(spark, "keyed")
+    keyed.write_keyed(products, path, "code", ROW, rows_per_group=100)
+    rows = spark.read.parquet(path).count()
+    answers = []
+    for asked in ASKED:
+        found = keyed.lookup_keys(spark, path, "code", [asked], products.schema)
+        answers.append((asked, found.count(), keyed.rows_scanned(found) < 0.05 * rows))
+    return spark.createDataFrame(answers, "asked string, n long, read_little boolean")
