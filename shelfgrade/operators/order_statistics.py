@@ -1,7 +1,8 @@
 """Exact quantiles and ranks that do not gather a group in one task.
 
 One aggregate sketches all columns of all groups side by side. The sketch gives, for each wanted
-rank, an interval of its values that is sure to hold it, about one part in seventy of the rows.
+rank, an interval of its values that should hold it, about one part in seventy of the rows; the counts
+show whether it does, and an interval that misses its rank is an error, never a wrong value.
 A second pass counts the rows below each interval and takes out those inside, folded by value: a
 value that fills a third of the rows is one entry. These entries are range-partitioned, numbered by
 the sums of the partitions before them, and the entry at the rank is picked. There is one way for
@@ -172,7 +173,11 @@ def _pick(entries: DataFrame, targets: DataFrame) -> DataFrame:
             F.min(F.when(at_floor, F.col("value"))).alias("_low"),
             F.min(F.when(at_ceil, F.col("value"))).alias("_high"),
             F.min_by(upto - F.col("times"), F.when(at_floor, F.col("value"))).alias("below"),
+            F.max(upto).alias("_top"),
         )
     )
     part = F.col("position") - F.floor("position")
-    return targets.join(found, key).withColumn("found", F.col("_low") + (F.col("_high") - F.col("_low")) * part)
+    missed = (F.col("_below") > F.floor("position")) | F.coalesce(F.col("_top") <= F.ceil("position"), F.lit(True))
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * part
+    wrong = F.raise_error(F.concat(F.lit("the sketch's interval does not hold position "), F.col("position").cast("string")))
+    return targets.join(found, key, "left").withColumn("found", F.when(missed, wrong).otherwise(value))

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from shelfgrade.operators import sampling
+from shelfgrade.operators import order_statistics, sampling
 from shelfgrade.operators.order_statistics import exact_quantiles, staged_columns
+from shelfgrade.staging import scope
 
 PROBS = [0.0, 0.25, 0.5, 0.99, 1.0]
 
@@ -82,3 +83,15 @@ def test_sample_is_exact_and_repeatable(rows):
 def test_plain_split_share(rows):
     n = sampling.plain_split(rows, "key").where("is_test").count()
     assert 850 < n < 1150
+
+
+@pytest.mark.parametrize("changed", ["named_struct('lo', t.hi, 'hi', t.hi)", "named_struct('lo', t.lo, 'hi', t.lo)", "named_struct('lo', -2D, 'hi', -1D)"])
+def test_an_interval_that_misses_its_rank_is_an_error(spark, monkeypatch, changed):
+    real = order_statistics._intervals
+    fields = "'_slot', t._slot, '_measure', t._measure, 'target', t.target, 'n', t.n, 'position', t.position"
+    moved = changed.replace("named_struct(", f"named_struct({fields}, ")
+    monkeypatch.setattr(order_statistics, "_intervals", lambda *a: real(*a).withColumn("_targets", F.expr(f"transform(_targets, t -> {moved})")))
+    with scope(spark):
+        data = order_statistics.staged_columns(spark.range(5000).withColumn("v", F.col("id") * 1.0), ["v"])
+        with pytest.raises(Exception, match="does not hold position"):
+            order_statistics.exact_quantiles(data, ["v"], [0.37])
