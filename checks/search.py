@@ -11,7 +11,7 @@ from shelfgrade.operators.substitutes import find_substitutes
 from shelfgrade.plans import views
 from shelfgrade.plans.sql import presets, run_preset, run_sql
 from shelfgrade.plans.views import PRODUCTS, ROW
-from shelfgrade.sources import keyed, payloads
+from shelfgrade.sources import gram_index, keyed, payloads
 from shelfgrade.staging import scratch_path, stage
 
 from .registry import ORDER, WITH_PRODUCTS, query, rounded
@@ -269,3 +269,36 @@ def lookup_keyed(spark, folder):
         found = keyed.lookup_keys(spark, path, "code", [asked], products.schema)
         answers.append((asked, found.count(), keyed.rows_scanned(found) < 0.05 * rows))
     return spark.createDataFrame(answers, "asked string, n long, read_little boolean")
+
+
+# Signs, capitals, accents, fewer than three characters, and a text that is nowhere.
+SEARCHED = ["%", "TION", "é", "qu", "no such text", "200."]
+
+
+@query(
+    "search_indexed",
+    "SELECT term, doc_id FROM documents, (VALUES " + ", ".join(f"('{t}')" for t in SEARCHED) + ") AS v(term) WHERE contains(lower(text), lower(term))",
+)
+def search_indexed(spark, folder):
+    path = scratch_path(spark, "grams")
+    gram_index.write_gram_index(views.table(spark, folder, "documents").select("doc_id", "text"), path, ["text"])
+    found = None
+    for term in SEARCHED:
+        one = gram_index.find_containing(spark, path, {"text": term}).select(F.lit(term).alias("term"), "doc_id")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(
+    "search_indexed_columns",
+    WITH_PRODUCTS
+    + f"SELECT 'all' AS kind, {ORDER} FROM products WHERE contains(lower(product_name), 'ring') AND contains(lower(categories_en), 'small, r')"
+    + f" UNION ALL SELECT 'any' AS kind, {ORDER} FROM products WHERE coalesce(contains(lower(product_name), 'lace'), false) OR coalesce(contains(lower(categories_en), 'promo b'), false)",
+)
+def search_indexed_columns(spark, folder):
+    path = scratch_path(spark, "grams")
+    columns = ["product_name", "categories_en"]
+    gram_index.write_gram_index(views.products(spark, folder).select(*ROW, *columns), path, columns)
+    both = gram_index.find_containing(spark, path, {"product_name": "RING", "categories_en": "Small, r"})
+    either = gram_index.find_containing(spark, path, {"product_name": "lace", "categories_en": "Promo B"}, any_of=True)
+    return both.select(F.lit("all").alias("kind"), *ROW).unionByName(either.select(F.lit("any").alias("kind"), *ROW))
