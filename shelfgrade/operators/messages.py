@@ -13,7 +13,6 @@ from ..functions.numeric import zero_if_missing
 from ..functions.text import col, first_matching, query_words
 from ..staging import scope, stage
 from .dedup import top_rows
-from .joins import join_spread
 from .statistics import value_counts
 from .substring_join import match_words, needle_table
 
@@ -36,19 +35,22 @@ def keyword_hits(words: DataFrame, products: DataFrame, tie_break: Sequence[str]
 
     Every word of the names and brands keeps its n best rows, taken in the map tasks first. The
     asked words are matched with this vocabulary only, and the short lists of the matched words are
-    merged: a product among the n best of all is among the n best of one of its own words. Names and
-    brands are not shuffled, unless they are shown.
+    merged: a product among the n best of all is among the n best of one of its own words. The lists
+    hold the grade and the ``tie_break`` columns, which tell products apart; the other columns are
+    fetched for the final rows.
     """
     order = [col(grade).asc_nulls_last(), *[col(t).asc_nulls_last() for t in tie_break]]
     kept = list(dict.fromkeys([*shown, grade, *tie_break]))
+    ranked_by = list(dict.fromkeys([grade, *tie_break]))
     split = lambda c: F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"\s+")
-    held = products.select(*[col(c) for c in kept], F.explode(F.array_distinct(F.concat(split(name), split(brand)))).alias("_word"))
-    lists = stage(top_rows(held.where("_word <> ''").withColumnRenamed("_word", "word"), ["word"], order, n), "lists").frame
+    held = products.select(*[col(c) for c in ranked_by], F.explode(F.array_distinct(F.concat(split(name), split(brand)))).alias("_word"))
+    lists = stage(top_rows(held.where("_word <> ''"), ["_word"], order, n), "lists").frame
     needles = needle_table(words, "word").frame
-    matched = match_words(needles.where("needle <> ''"), lists.select("word").distinct())
-    offered = join_spread(lists.withColumnRenamed("word", "_word"), matched.withColumnRenamed("word", "_word"), "_word", tie_break)
-    offered = offered.drop("_word").withColumnRenamed("needle", "word")
-    hits = top_rows(offered.dropDuplicates(["word", *tie_break]), ["word"], order, n, "place")
+    matched = match_words(needles.where("needle <> ''"), lists.select(F.col("_word").alias("word")).distinct())
+    # At most n rows a word in the lists, and a word is matched by its own parts only: nothing is hot.
+    offered = lists.join(matched.select(F.col("word").alias("_word"), F.col("needle").alias("word")), "_word").drop("_word")
+    best = stage(top_rows(offered.dropDuplicates(["word", *tie_break]), ["word"], order, n, "place"), "best").frame
+    hits = _fetched(best, products, ranked_by, kept)
     if not needles.where("needle = ''").isEmpty():
         # A word of punctuation only is empty after stripping and matches everything.
         everything = products.where(col(name).isNotNull() | col(brand).isNotNull()).select(F.lit("").alias("word"), *[col(c) for c in kept])
@@ -56,6 +58,20 @@ def keyword_hits(words: DataFrame, products: DataFrame, tie_break: Sequence[str]
     return hits
 
 
+def _fetched(best: DataFrame, products: DataFrame, by: list[str], kept: list[str]) -> DataFrame:
+    """``word, place`` of the ranked rows with all ``kept`` columns of their product; ``by`` tells products apart."""
+    rest = [c for c in kept if c not in by]
+    if not rest:
+        return best.select("word", *[col(c) for c in kept], "place")
+    shown = products.select(*[col(c).alias(f"_by_{i}") for i, c in enumerate(by)], *[col(c) for c in rest])
+    asked = best.select(*[col(c).alias(f"_by_{i}") for i, c in enumerate(by)]).distinct()
+    same = lambda left, right: [left[f"_by_{i}"].eqNullSafe(right[f"_by_{i}"]) for i in range(len(by))]
+    one = shown.join(asked, same(shown, asked), "left_semi").dropDuplicates([f"_by_{i}" for i in range(len(by))])
+    marked = best.select("word", "place", *[col(c).alias(f"_by_{i}") for i, c in enumerate(by)])
+    back = {c: one[f"_by_{i}"] for i, c in enumerate(by)}
+    return marked.join(one, same(marked, one)).select("word", *[back[c].alias(c) if c in back else one[f"`{c}`"] for c in kept], "place")
+
+
 def message_products(messages: DataFrame, products: DataFrame, tie_break: Sequence[str], key="conv_id", message="message", name="product_name", n: int = 3, **columns) -> DataFrame:
     """Products named by the first words of each message, one row per name, in word order."""
     words = messages.select(col(key), F.posexplode(query_words(message)).alias("_word_at", "word"))

@@ -81,11 +81,9 @@ def _matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
 def _long_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     word_grams = words.select("needle", F.explode(_grams("needle", GRAM)).alias("gram"))
     held = corpus.select("text_id", F.explode(_grams("text", GRAM)).alias("gram"))
-    spread = (
-        held.join(word_grams.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("texts"))
-    )
+    # Only grams of some needle are kept, and written once: they are counted, then looked up.
+    held = stage(held.join(word_grams.select("gram").distinct(), "gram", "left_semi"), "grams").frame
+    spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     # A needle with a gram that no text has cannot match and gets no anchor.
     known = F.coalesce("texts", F.lit(0))
     anchors = (
