@@ -5,8 +5,9 @@ rank, an interval of its values that should hold it, about one part in seventy o
 show whether it does, and an interval that misses its rank is an error, never a wrong value.
 A second pass counts the rows below each interval and takes out those inside, folded by value: a
 value that fills a third of the rows is one entry. These entries are range-partitioned, numbered by
-the sums of the partitions before them, and the entry at the rank is picked. There is one way for
-all sizes, its number of passes is constant, and no task holds more than a range of the entries.
+the sums of the partitions before them, and the entry at the rank is picked from the partition that
+holds it. There is one way for all sizes, its number of passes is constant, and no task holds more
+than a range of the entries, however large a group is.
 """
 
 from __future__ import annotations
@@ -161,23 +162,25 @@ def _pick(entries: DataFrame, targets: DataFrame) -> DataFrame:
     ranged = stage(entries.repartitionByRange(*key, "value").withColumn("_part", F.spark_partition_id()), "entries").frame
     sums = ranged.groupBy(*key, "_part").agg(F.sum("times").alias("_held"))
     before = F.sum("_held").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = sums.withColumn("_before", F.coalesce(before, F.lit(0)))
+    low, high, start = F.floor("position"), F.ceil("position"), F.col("_below") + F.col("_before")
+    # A position and the next one lie in two partitions at most; the entries of no other one are searched.
+    wanted = offsets.join(targets.select(*key, "position", "_below"), key).where((start <= high) & (start + F.col("_held") > low))
     within = F.sum("times").over(Window.partitionBy("_part", *key).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    counted = ranged.withColumn("_within", within).join(offsets, ["_part", *key]).select(*key, "value", "times", (F.col("_before") + F.col("_within")).alias("_upto"))
-    upto = F.col("_below") + F.col("_upto")
-    at_floor, at_ceil = upto > F.floor("position"), upto > F.ceil("position")
+    counted = ranged.withColumn("_within", within).join(wanted, ["_part", *key])
+    upto = start + F.col("_within")
+    at = lambda place: (upto > place) & (upto - F.col("times") <= place)
     found = (
-        counted.join(targets.select(*key, "position", "_below"), key)
+        counted.where(at(low) | at(high))
         .groupBy(*key)
         .agg(
-            F.min(F.when(at_floor, F.col("value"))).alias("_low"),
-            F.min(F.when(at_ceil, F.col("value"))).alias("_high"),
-            F.min_by(upto - F.col("times"), F.when(at_floor, F.col("value"))).alias("below"),
-            F.max(upto).alias("_top"),
+            F.min(F.when(at(low), F.col("value"))).alias("_low"),
+            F.min(F.when(at(high), F.col("value"))).alias("_high"),
+            F.min(F.when(at(low), upto - F.col("times"))).alias("below"),
         )
     )
-    part = F.col("position") - F.floor("position")
-    missed = (F.col("_below") > F.floor("position")) | F.coalesce(F.col("_top") <= F.ceil("position"), F.lit(True))
+    part = F.col("position") - low
+    missed = F.col("_low").isNull() | F.col("_high").isNull()
     value = F.col("_low") + (F.col("_high") - F.col("_low")) * part
     wrong = F.raise_error(F.concat(F.lit("the sketch's interval does not hold position "), F.col("position").cast("string")))
     return targets.join(found, key, "left").withColumn("found", F.when(missed, wrong).otherwise(value))
