@@ -26,6 +26,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +56,7 @@ _ANY = r"(?i)(?:pass|passphrase|passcode|password|passwd|pwd|pin|secret|token|cr
 LEAST = 8.0  # decimal logarithm of the guesses
 LONGEST_WORD = 40
 SLICE = 1000  # texts whose words are counted together
+LETTERS = 20_000  # parts of a value that are handed on together
 
 # Common words of passwords, most frequent first.
 WORDS = (
@@ -200,15 +202,22 @@ def _is_letter(c: str) -> bool:
     return unicodedata.category(c)[0] in "LM"
 
 
-def letters(value: str) -> set[str]:
-    """All that could be a word in a value, as it is and with signs read as letters."""
-    low, out = _small(value), set()
+def letters(value: str, most: int = LETTERS) -> Iterator[set[str]]:
+    """All that could be a word in a value, as it is and with signs read as letters, in sets of about ``most``.
+
+    A value of any length is held together with one set only; what repeats far apart is in several sets.
+    """
+    low, held = _small(value), set()
     for line in {low, low.translate(STANDS)}:
         run = 0  # letters from a place on
         for i in range(len(line) - 1, -1, -1):
             run = run + 1 if _is_letter(line[i]) else 0
-            out.update(line[i:j] for j in range(i + 3, i + min(run, LONGEST_WORD) + 1))
-    return out
+            held.update(line[i:j] for j in range(i + 3, i + min(run, LONGEST_WORD) + 1))
+            if len(held) >= most:
+                yield held
+                held = set()
+    if held:
+        yield held
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -256,8 +265,9 @@ def cheap_values(values: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     def pairs(batches):
         for b in batches:
             for i, value in zip(b.column("_id").to_pylist(), b.column("value").to_pylist()):
-                words = sorted(letters(value))
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.string()), pa.array(words, pa.string())], names=["_id", "word"])
+                for some in letters(value):
+                    words = sorted(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(words), pa.string()), pa.array(words, pa.string())], names=["_id", "word"])
 
     def judge(batches):
         for b in batches:

@@ -98,3 +98,23 @@ def test_words_of_the_texts_are_no_secrets(spark):
 def test_word_counts_leave_values_out(spark):
     df = spark.createDataFrame([("Prose prose is fine",), ("pin is hushhush prose",), (None,)], "_text string")
     assert {tuple(r) for r in secret_scan.word_counts(df).collect()} == {("prose", 3), ("fine", 1), ("pin", 1)}
+
+
+def test_long_values_are_taken_in_parts():
+    source = random.Random(5)
+    value = "".join(source.choice("abcdefghijklmnopqrstuvwxyz0@") for _ in range(20_000))
+    parts = list(secret_scan.letters(value, 500))
+    assert len(parts) > 100 and max(map(len, parts)) < 500 + secret_scan.LONGEST_WORD
+    assert set().union(*parts) == set().union(*secret_scan.letters(value, 10**9))
+    small = "p4ss-w@rd"
+    want = {w[i:j] for w in ("p4ss", "w@rd", "pass", "ward") for i in range(4) for j in range(i + 3, 5) if w[i:j].isalpha()}
+    assert set().union(*secret_scan.letters(small)) == want
+    assert list(secret_scan.letters("")) == list(secret_scan.letters("ab.")) == []
+
+
+def test_a_long_value_is_found_with_the_words_of_the_texts(spark):
+    source = random.Random(6)
+    value = "".join(source.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    df = spark.createDataFrame([(1, f"pwd={value} end"), (2, "password is required"), (3, "the form is required")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df, "text", ["doc_id"]).collect()}
+    assert got == {1: f"guess:4:{4 + len(value)}", 2: "", 3: ""}
