@@ -16,8 +16,8 @@ positional filter (what can still be shared behind the places of the common shin
 (sets are partitioned by hash into 128 cells, and the differences of the cells' sizes bound the Hamming
 distance). A list of n alike documents has about n^2 / 2 candidates, so a task first proposes a spanning forest
 of them only; each proposed pair is verified once on the full sets, and components are joined. Where a
-pair of a list's forest is no link, all candidates of the list that lie between different components are
-verified as well, so no link between components is lost.
+pair of a forest is no link, the full sets are sent to the cluster that the forests make, whose task verifies all
+candidates that lie between different components, so no link between components is lost; only links leave it.
 
 Defined results: a missing or empty text, or one of white space only, has no set: n_shingles is 0 and the
 document is its own component; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -42,6 +42,7 @@ PERCENT = 90
 BLOCK = 1024
 SHORT = 8  # rows of lists whose pairs are all proposed
 CELLS = 128
+HELD = 1 << 20  # shingles of a part of a cluster
 WORDS_HELD = 1 << 19  # word hashes a worker remembers
 FILTER_WORDS = 1 << 17
 TEXT_BYTES = 1 << 23  # of texts that are split at once
@@ -203,7 +204,40 @@ def candidates(n: np.ndarray, pos: np.ndarray, cells: np.ndarray, label: np.ndar
     return np.concatenate([*found_a, _NONE]), np.concatenate([*found_b, _NONE])
 
 
-def _proposals(whole: bool):
+def links_within(n: np.ndarray, pos: np.ndarray, cells: np.ndarray, label: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between places that have different labels.
+
+    ``n`` must be sorted; ``flat`` holds the whole sets one after the other. All candidates are counted on them.
+    """
+    label = label.copy()
+    found_a, found_b = [], []
+    ends = np.searchsorted(n, n * 100 // PERCENT, side="right")
+    starts = np.concatenate([[0], np.cumsum(n)])
+    names, codes = np.unique(flat, return_inverse=True)
+    marks = np.zeros(len(names), bool)
+    for x in range(len(n)):
+        y = np.arange(x + 1, ends[x])
+        y = y[label[y] != label[x]]
+        y = y[_near(n, pos, cells, np.full(len(y), x), y)]
+        if not len(y):
+            continue
+        own = codes[starts[x] : starts[x + 1]]
+        marks[own] = True
+        sizes = n[y]
+        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        places = np.arange(sizes.sum()) + np.repeat(starts[y] - firsts, sizes)
+        shared = np.add.reduceat(marks[codes[places]], firsts, dtype=np.int64)
+        marks[own] = False
+        y = y[100 * shared >= PERCENT * (n[x] + sizes - shared)]
+        chosen = y[np.unique(label[y], return_index=True)[1]]
+        if len(chosen):
+            label[np.isin(label, label[chosen])] = label[x]
+            found_a.append(np.full(len(chosen), x))
+            found_b.append(chosen)
+    return np.concatenate([*found_a, _NONE]), np.concatenate([*found_b, _NONE])
+
+
+def _proposals():
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     numbers = ("token", "lo", "hi", "sid", "label", "n", "pos")
 
@@ -224,7 +258,7 @@ def _proposals(whole: bool):
             b.append(x + d)
         for k in np.flatnonzero(sizes > SHORT):
             at = slice(starts[k], starts[k + 1])
-            x, y = candidates(n[at], pos[at], cells[at], label[at], whole)
+            x, y = candidates(n[at], pos[at], cells[at], label[at], False)
             a.append(x + starts[k])
             b.append(y + starts[k])
         x, a, b = np.concatenate(a), sid[np.concatenate(a)], sid[np.concatenate(b)]
@@ -250,17 +284,70 @@ def _proposals(whole: bool):
     return run
 
 
-def _propose(lists: DataFrame, sets: DataFrame, roots: DataFrame | None, whole: bool) -> DataFrame:
-    """(token, a, b): each list's candidate pairs of different components; a spanning forest of them, or all."""
-    labelled = sets.withColumn("label", F.col("sid"))
-    if roots is not None:
-        labelled = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of lists or clusters (token, sid, parts), every two parts of a list in a task of their own, sorted by n."""
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("part")) | (F.col("parts") == 1))
-    met = lists.join(labelled, "sid").withColumn("part", part).withColumn("other", F.explode(others))
+    met = rows.withColumn("part", part).withColumn("other", F.explode(others))
     group = ["token", "lo", "hi"]
-    met = met.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "sid", "label", "n", "pos", "cells")
-    return met.repartition(*group).sortWithinPartitions(*group, "n").mapInArrow(_proposals(whole), "token long, a long, b long")
+    met = met.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "sid", *columns)
+    return met.repartition(*group).sortWithinPartitions(*group, "n")
+
+
+def _propose(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, a, b): a spanning forest of each list's candidate pairs."""
+    met = _dealt(lists.join(sets, "sid").withColumn("label", F.col("sid")), "label", "n", "pos", "cells")
+    return met.mapInArrow(_proposals(), "token long, a long, b long")
+
+
+def _settled():
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    numbers = ("token", "lo", "hi", "sid", "label", "n", "pos")
+
+    def links(parts):
+        """Links of one cluster, whose rows are sorted by n."""
+        _, _, _, sid, label, n, pos = np.concatenate([p[0] for p in parts], axis=1)
+        cells = np.concatenate([p[1] for p in parts])
+        x, y = links_within(n, pos, cells, label, np.concatenate([p[2] for p in parts]))
+        x, y = sid[x], sid[y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in numbers])
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+            flat, ends = batch.column("shingles").flatten().to_numpy(), np.concatenate([[0], np.cumsum(now[5])])
+            cuts = [0, *(np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                # The last list may go on in the next batch.
+                if held and (held[-1][0][:3, 0] != now[:3, a]).any():
+                    yield links(held)
+                    held = []
+                held.append((now[:, a:b], cells[a:b], flat[ends[a] : ends[b]]))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _settle(forest: DataFrame, sets: DataFrame, bodies: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links between different components of ``roots``.
+
+    The forests of the lists connect what is a candidate in some list, so all candidates lie inside the clusters that
+    ``forest`` makes. A set is sent once to its cluster and a pair is counted where it is found: no candidate pairs,
+    whose number grows with the square of a cluster, are written, and no more links leave a task than it has rows.
+    """
+    clusters = connected_components(forest.select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("token"))
+    labelled = clusters.join(sets, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+    rows = stage(labelled, "clusters").frame
+    spans = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum("n").alias("held")).where("least < most")
+    # Two parts of a cluster, of about as many shingles, are held at a time.
+    parts = F.ceil(F.col("held") / HELD).cast("int")
+    met = rows.join(spans.select("token", parts.alias("parts")), "token").join(bodies, "sid").withColumn("pos", F.lit(0))
+    return _dealt(met, "label", "n", "pos", "cells", "shingles").mapInArrow(_settled(), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -274,17 +361,14 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def _links(lists: DataFrame, sets: DataFrame, bodies: DataFrame) -> DataFrame:
     """(a, b): verified links that connect what all links connect."""
-    forest = stage(_propose(lists, sets, None, False), "proposals").frame
+    forest = stage(_propose(lists, sets), "proposals").frame
     known = stage(_verified(forest.select("a", "b").distinct(), bodies), "verified").frame
     links, refused = known.where("linked").select("a", "b"), known.where("NOT linked").select("a", "b")
     # Where all pairs of a list's forest are links, its candidates are connected already.
-    open_lists = forest.join(refused, ["a", "b"], "left_semi").select("token").distinct()
-    left = stage(lists.join(open_lists, "token", "left_semi"), "open-lists").frame
-    if left.isEmpty():
+    if refused.isEmpty():
         return links
-    rest = _propose(left, sets, connected_components(links), True).select("a", "b").distinct()
-    more = stage(_verified(rest.join(known, ["a", "b"], "left_anti"), bodies), "verified").frame
-    return links.unionByName(more.where("linked").select("a", "b"))
+    more = stage(_settle(forest.select("a", "b").distinct(), sets, bodies, connected_components(links)), "settled").frame
+    return links.unionByName(more)
 
 
 def _likely(rows: DataFrame, asked: DataFrame, hashed: str) -> DataFrame:
