@@ -401,3 +401,15 @@ def test_upsert_keeps_the_latest_and_can_be_compacted(spark, folder):
     assert run() == [("a", 5, 6), ("b", 2, 5), ("c", 1, 1)]
     stream_sinks.compact(spark, path, f"{folder}/log2", EVENT, ["code"], ["at"])
     assert stream_sinks.read_upserts(spark, f"{folder}/log2", EVENT, ["code"], ["at"]).count() == 3
+
+
+def test_only_the_picked_rows_reach_the_task_that_fits(spark, monkeypatch):
+    from shelfgrade.operators import boosting
+
+    plans = []
+    real = boosting.stage
+    monkeypatch.setattr(boosting, "stage", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    rows = spark.range(0, 400, 1, 8).selectExpr("double(id % 10) AS x", "int(id % 10 > 4) AS y", "id")
+    model = boosting.fit_boosted(rows, rows.where("id % 2 = 0"), ["x"], "y", 3, 2, 0.1, 1.0, 1.0, 1)
+    assert len(model.of_class) == 6
+    assert "Coalesce 1" not in plans[0] and "Exchange" in plans[0]
