@@ -10,9 +10,9 @@ from ..functions.text import col
 from ..schema import PRODUCT_PAYLOAD, SEARCH_PAYLOAD
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Landed documents, one per file, as column ``payload``."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed documents, one per file or one per line, as column ``payload``."""
+    return spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "payload")
 
 
 def search_rows(documents: DataFrame, payload: str = "payload", schema: str = SEARCH_PAYLOAD) -> DataFrame:

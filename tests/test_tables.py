@@ -403,16 +403,16 @@ def test_upsert_keeps_the_latest_and_can_be_compacted(spark, folder):
     assert stream_sinks.read_upserts(spark, f"{folder}/log2", EVENT, ["code"], ["at"]).count() == 3
 
 
-def test_only_the_picked_rows_reach_the_task_that_fits(spark, monkeypatch):
-    from shelfgrade.operators import boosting
+def test_responses_land_in_few_files(spark, tmp_path, monkeypatch):
+    from checks import cleaning
 
-    plans = []
-    real = boosting.stage
-    monkeypatch.setattr(boosting, "stage", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
-    rows = spark.range(0, 400, 1, 8).selectExpr("double(id % 10) AS x", "int(id % 10 > 4) AS y", "id")
-    model = boosting.fit_boosted(rows, rows.where("id % 2 = 0"), ["x"], "y", 3, 2, 0.1, 1.0, 1.0, 1)
-    assert len(model.of_class) == 6
-    assert "Coalesce 1" not in plans[0] and "Exchange" in plans[0]
+    rows = [(i, f"name {i}\n\"x\"", "b", i / 4) for i in range(2000)] + [(None, "no key", None, None), (7, None, "again", 1.0)]
+    spark.createDataFrame(rows, "p_partkey int, p_name string, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(cleaning, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = cleaning.json_explode_products(spark, str(tmp_path))
+    text = lambda v: None if v is None else str(v)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((text(k), n, b, text(p))) for k, n, b, p in rows)
+    assert len(list((tmp_path / "responses").rglob("part-*"))) <= 4  # as many as tasks, not as responses
 
 
 def test_frequent_values_of_one_file_each_are_written_by_tasks_of_their_own(spark, tmp_path):
@@ -426,3 +426,15 @@ def test_frequent_values_of_one_file_each_are_written_by_tasks_of_their_own(spar
     files = list((tmp_path / "t").rglob("part-*.parquet"))
     assert len(files) == 5 and len({f.name[:10] for f in files}) == 5
     assert spark.read.parquet(f"{tmp_path}/t").count() == 5000
+
+
+def test_only_the_picked_rows_reach_the_task_that_fits(spark, monkeypatch):
+    from shelfgrade.operators import boosting
+
+    plans = []
+    real = boosting.stage
+    monkeypatch.setattr(boosting, "stage", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    rows = spark.range(0, 400, 1, 8).selectExpr("double(id % 10) AS x", "int(id % 10 > 4) AS y", "id")
+    model = boosting.fit_boosted(rows, rows.where("id % 2 = 0"), ["x"], "y", 3, 2, 0.1, 1.0, 1.0, 1)
+    assert len(model.of_class) == 6
+    assert "Coalesce 1" not in plans[0] and "Exchange" in plans[0]
