@@ -47,3 +47,10 @@ def test_all_rows_are_kept_also_without_a_key(spark, path, tmp_path):
     empty = spark.createDataFrame([], "code string, id long")
     write_keyed(empty, f"{tmp_path}/e", "code")
     assert lookup_keys(spark, f"{tmp_path}/e", "code", ["1"], empty.schema).count() == 0
+
+
+def test_a_look_up_opens_only_files_around_its_keys(spark, path):
+    assert len(spark.read.parquet(path).inputFiles()) == 8
+    assert len(lookup_keys(spark, path, "code", ["1604"]).inputFiles()) == 1
+    # A number is compared as a number, which the ranges of strings do not tell: all files are read.
+    assert [r["id"] for r in lookup_keys(spark, path, "code", [1604]).collect()] == [802]
