@@ -92,3 +92,19 @@ def test_threshold():
     scores, labels = np.array([0.9, 0.8, 0.6, 0.5, 0.2]), np.array([1, 1, 0, 1, 0])
     assert toxicity.best_threshold(scores, labels, cases=1) == pytest.approx(0.35)
     assert toxicity.best_threshold(scores, labels) == 0.3
+
+
+def test_every_labelled_row_is_fitted(spark):
+    """Each of many toxic words stands in few texts, so that a model of some of the rows misses words."""
+    rnd = random.Random(3)
+    vile = [f"{a}{b}zz{c}" for a in "bcdfg" for b in "aeiou" for c in "kq"]
+    rows = [(i, text(rnd, 0, "en") + (f" {vile[i // 4 % len(vile)]}" if i % 4 == 0 else ""), "en") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, "doc_id", "text", "lang", "toxic", 400)
+    asked = spark.createDataFrame([(i, f"{text(rnd, 0, 'en')} {w}", "en") for i, w in enumerate(vile)], docs.schema)
+    clean = spark.createDataFrame([(i, text(rnd, 0, "en"), "en") for i in range(50)], docs.schema)
+    caught = toxicity.score(asked, model, "text", "lang", ["doc_id"]).agg(F.avg("predicted"), F.avg("flagged")).first()
+    wrong = toxicity.score(clean, model, "text", "lang", ["doc_id"]).agg(F.avg("predicted"), F.avg("flagged")).first()
+    assert min(caught) > 0.9 and max(wrong) < 0.1
+    assert toxicity.train(docs.orderBy(F.desc("doc_id")), labels, "doc_id", "text", "lang", "toxic", 400) == model
