@@ -66,7 +66,8 @@ def _fetched(best: DataFrame, products: DataFrame, by: list[str], kept: list[str
     shown = products.select(*[col(c).alias(f"_by_{i}") for i, c in enumerate(by)], *[col(c) for c in rest])
     asked = best.select(*[col(c).alias(f"_by_{i}") for i, c in enumerate(by)]).distinct()
     same = lambda left, right: [left[f"_by_{i}"].eqNullSafe(right[f"_by_{i}"]) for i in range(len(by))]
-    one = shown.join(asked, same(shown, asked), "left_semi").dropDuplicates([f"_by_{i}" for i in range(len(by))])
+    # Written, so that what reads the hits reads the few rows that were found and not the products again.
+    one = stage(shown.join(asked, same(shown, asked), "left_semi").dropDuplicates([f"_by_{i}" for i in range(len(by))]), "shown").frame
     marked = best.select("word", "place", *[col(c).alias(f"_by_{i}") for i, c in enumerate(by)])
     back = {c: one[f"_by_{i}"] for i, c in enumerate(by)}
     return marked.join(one, same(marked, one)).select("word", *[back[c].alias(c) if c in back else one[f"`{c}`"] for c in kept], "place")
