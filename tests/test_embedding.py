@@ -107,3 +107,34 @@ def test_the_logistic_model_learns_from_the_vectors(spark, corpus):
         rows = stage(embedding.embed_texts(known, model), "vectors").frame.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
         scored = learning.score_classes(learning.train_logistic(rows, "label"), rows, ["0", "1", "2"])
         assert scored.where("predicted = cast(label as string)").count() == 90
+
+
+def test_texts_are_weighed_in_blocks_and_a_pass_multiplies_matrices(spark, corpus, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    weights = np.where(rng.random(32) < 0.2, 0.0, rng.random(32) + 1)
+    lists = [None, [], [0] * 9, *[rng.integers(0, 32, rng.integers(1, 40)).tolist() for _ in range(30)]]
+    monkeypatch.setattr(embedding, "BLOCK", 32 * 4)
+    whole = np.zeros((len(lists), 32))
+    done = 0
+    for at, rows in embedding._unit_texts(pa.array(lists, pa.list_(pa.int32())).slice(0), weights):
+        assert len(rows) <= 4
+        whole[done : done + len(rows), at] = rows
+        done += len(rows)
+    assert done == len(lists)
+    for got, words in zip(whole, lists):
+        want = np.bincount(words or [], minlength=32).astype(float)
+        want[want > 0] = 1 + np.log(want[want > 0])
+        want *= weights
+        assert np.allclose(got, want / (np.linalg.norm(want) or 1))
+
+
+def test_words_found_beforehand_give_the_same_vectors(spark, corpus):
+    with scope(spark):
+        words = stage(corpus.select("id", embedding.word_buckets("text", 64).alias("found")), "words").frame
+        one, two = embedding.fit_directions(corpus, dims=5, size=64), embedding.fit_directions(words, dims=5, size=64, buckets="found")
+        assert np.allclose(one.weights, two.weights) and one.share == pytest.approx(two.share, abs=1e-4)
+        got = embedding.embed_texts(words, one, buckets="found").orderBy("id").select("embedding").collect()
+        want = embedding.embed_texts(corpus, one).orderBy("id").select("embedding").collect()
+        assert np.allclose([r[0] for r in got], [r[0] for r in want], atol=1e-6)
