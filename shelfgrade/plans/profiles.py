@@ -59,10 +59,18 @@ def _staged(df: DataFrame, seen: Observation, name: str) -> tuple[Staged, int]:
     return data, rows_read
 
 
+def _numbers_first(df: DataFrame, columns: Sequence[str], key: str, order_by: Sequence[str]) -> DataFrame:
+    """Numbers parsed before the first rows are found, as they take less of that shuffle than their texts. What is
+    compared there or tested after it stays as written, and so does all where whole rows are compared."""
+    if key not in df.columns:
+        return df
+    return step.parse_numbers(df, [c for c in columns if c not in (key, NAME, GRADE, *order_by)])
+
+
 def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """First row per code before any validity rule; clip; group medians; title-case brands."""
     df, seen = _observed(df)
-    df = first_per_key(df, [key], order_by)
+    df = first_per_key(_numbers_first(df, features, key, order_by), [key], order_by)
     df = step.drop_missing(df, [NAME])
     df = step.keep_domain(step.normalize_grades(df), GRADE, GRADES)
     columns = step.present(df, features)
@@ -76,7 +84,7 @@ def clean_strict(df: DataFrame, order_by: Sequence[str], key: str = "code", feat
 def clean_basic(df: DataFrame, order_by: Sequence[str], key: str = "code", features: Sequence[str] = FEATURES) -> Cleaned:
     """Grades as written; clip; global medians; rows without label stay."""
     df, seen = _observed(df)
-    df = first_per_key(df, [key], order_by)
+    df = first_per_key(_numbers_first(df, features, key, order_by), [key], order_by)
     df = step.keep_domain(step.drop_missing(df, [NAME]), GRADE, GRADES)
     columns = step.present(df, features)
     data, rows_read = _staged(step.parse_numbers(df, columns), seen, "basic")
@@ -113,7 +121,7 @@ def clean_batch(df: DataFrame, order_by: Sequence[str], key: str = "code", featu
     df, seen = _observed(df)
     df = step.drop_missing(step.keep_domain(df, GRADE, GRADES), [NAME])
     if key in df.columns:
-        df = first_per_key(df, [key], order_by)
+        df = first_per_key(_numbers_first(df, features, key, order_by), [key], order_by)
     columns = step.present(df, features)
     data, rows_read = _staged(step.parse_numbers(df, columns), seen, "batch")
     clipped = step.clip_outliers(data.frame, step.clip_bounds(data, columns), swap=False)

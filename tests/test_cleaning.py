@@ -117,3 +117,12 @@ def test_cleaned_rows_stay_as_they_are(raw):
     once = profiles.clean_strict(raw, ["at"], features=FEATURES).frame
     again = step.add_label(step.default_texts(step.parse_counts(once)))
     assert table(again, "brands", "additives_n", "nutriscore_label") == table(once, "brands", "additives_n", "nutriscore_label")
+
+
+def test_numbers_are_parsed_before_the_rows_are_shuffled(spark):
+    raw = spark.createDataFrame([("1", "n", "a", "10", "5"), ("1", "m", "a", "9", "x")], "code string, product_name string, nutriscore_grade string, at string, energy_100g string")
+    early = dict(profiles._numbers_first(raw, ["energy_100g", "at"], "code", ["at"]).dtypes)
+    assert early["energy_100g"] == "double" and early["at"] == "string"  # the order stays that of texts
+    assert profiles._numbers_first(raw, ["energy_100g"], "ean", ["at"]) is raw
+    done = profiles.clean_strict(raw, ["at"], features=["energy_100g"])
+    assert [(r["product_name"], r["energy_100g"]) for r in done.data.frame.collect()] == [("n", 5.0)]
