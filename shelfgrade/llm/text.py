@@ -6,8 +6,10 @@ import string
 
 from pyspark.sql import Column, functions as F
 
-# A word: a run of letters and digits; everything beyond ASCII counts as a letter.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A word: a run of letters and digits; everything beyond ASCII counts as a letter. Of lower-cased text this is
+# `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. Java tests a character against each range of such a class in turn, but looks up
+# characters that are listed one by one, which is several times faster.
+WORD = f"[{string.digits}{string.ascii_lowercase}\\x80-\\x{{10FFFF}}]+"
 
 
 def ascii_lower(text: Column) -> Column:

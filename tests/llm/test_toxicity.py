@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfgrade.llm import text as text_module
 from shelfgrade.llm import toxicity
 
 BAD = ["vile", "scummy", "wretch"]
@@ -33,6 +34,17 @@ def tables(spark):
     )
 
 
+def test_words_are_those_of_the_ranges_and_looked_up(spark):
+    # Every character but surrogates, alone between letters and beside others.
+    codes = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343")
+    chars = codes.repartition(8).select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    lined = chars.select(F.concat(F.lit("aZ"), "c", F.lit("9 "), "c", "c").alias("text")).unionByName(spark.createDataFrame([(None,), ("",), ("A-b_c",)], "text string"))
+    plain = F.regexp_extract_all(text_module.ascii_lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    assert lined.where(~plain.eqNullSafe(text_module.words(F.col("text")))).isEmpty()
+    # The class lists its ASCII characters one by one: one range is left.
+    assert text_module.WORD.count("-") == 1
+
+
 def test_learns_and_scores_whole_texts(tables, monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 1000)
     docs, labels, truth = tables
