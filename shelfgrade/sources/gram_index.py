@@ -1,27 +1,37 @@
 """A stored index for repeated "text contains term" searches.
 
 ``write_gram_index`` writes the rows, numbered, and for each searched column a table of postings: a row per
-character gram and block of numbers, with the sorted numbers of the rows whose lower-cased text holds the gram.
+character gram and block of numbers, with the rows whose lower-cased text holds the gram, as sorted distances from
+the first number of the block.
 At every place of a text the gram is the next three characters, fewer at its end, so that a term of one or two
-characters is the beginning of some gram. Postings are written in order of the gram with bloom filters.
+characters is the beginning of some gram. Each task writes its postings in order of the gram with bloom filters.
 
 A search looks up the grams of the term, which reads a few row groups, intersects the lists of the rarest, reads the
 row groups that hold the remaining numbers and compares the texts themselves. Results are exact. A term whose
 grams are in a large part of the rows is looked for in all rows, as the index could not rule out much.
 
-A block holds at most ``BLOCK`` numbers, all from one task of the write, so a gram that every text has is many short
-lists, built in the map tasks, and lists meet block by block.
+A block spans at most ``BLOCK`` numbers, all from one task of the write, so a gram that every text has is many short
+lists, and lists meet block by block. A list is whole in the task that reads its rows, so nothing is shuffled: a file
+holds all grams of its own rows, and a look-up reads the few pages of each file around its grams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col, contains
-from .keyed import write_keyed
+from .keyed import write_sorted
+
+# The tasks get these functions as code, and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
 BLOCK = 1 << 14
@@ -30,19 +40,89 @@ LISTED = 1000  # row numbers that are pushed down as a list; more are joined
 LARGE_SHARE = 0.2
 ROWS_PER_GROUP = 10_000
 LISTS_PER_GROUP = 1000
+HELD = 1 << 21  # bytes of text whose grams a task holds at a time; a longer text is held alone
+
+
+POSTINGS = "gram string, block long, rows array<int>, n long"
 
 
 def _folders(path: str, at: int) -> str:
     return f"{path}/grams-{at}"
 
 
-def grams(text: Column) -> Column:
-    """The distinct grams of a text, those at its end shorter."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), 1))
+def _postings_from(rows: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """Lists of the grams of some texts, in order of the gram; gram ends at the text's end are shorter."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t) for t in texts])
+    used = np.bincount(chars) > 0
+    base, known = int(used.sum()) + 1, np.flatnonzero(used)
+    if len(texts) > 1 and base**GRAM * len(texts) >= 1 << 63:
+        for half in (slice(None, len(texts) // 2), slice(len(texts) // 2, None)):
+            yield from _postings_from(rows[half], texts[half])
+        return
+    # A gram is a number with the characters as digits, 0 behind the end of the text.
+    digits = np.cumsum(used)[chars]
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    gram = digits
+    for ahead in range(1, GRAM):
+        gram = gram * base
+        gram[:-ahead] += np.where(owner[ahead:] == owner[:-ahead], digits[ahead:], 0)
+    which, at = np.divmod(np.unique(gram * len(texts) + owner), len(texts))
+    starts = np.flatnonzero(np.diff(which, prepend=-1))
+    found, ends = which[starts], np.append(starts, len(which))
+    places = np.stack([found // base**k % base for k in reversed(range(GRAM))], axis=1)
+    spelled = known[places[places > 0] - 1].astype(np.uint32).tobytes().decode("utf-32-le")
+    cuts = np.append(0, np.cumsum((places > 0).sum(axis=1))).tolist()
+    away = (rows[at] - rows[0]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([spelled[a:b] for a, b in zip(cuts, cuts[1:])]),
+            pa.array(np.full(len(found), rows[0], np.int64)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(away)),
+            pa.array(np.diff(ends).astype(np.int64)),
+        ],
+        names=["gram", "block", "rows", "n"],
+    )
+
+
+def _lists(block: int):
+    """Postings of the rows of a task; a list spans ``block`` numbers at most, which rise.
+
+    The numbers of a file rise, but a task may read a later part of it first.
+    """
+
+    def run(batches):
+        held, size = [], 0  # pieces of one block
+
+        def done():
+            if held:
+                rows, texts = np.concatenate([r for r, _ in held]), [t for _, piece in held for t in piece.to_pylist()]
+                yield from _postings_from(rows, texts)
+            held.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, texts = b.column("row").to_numpy(), b.column("text")
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            parts = np.cumsum(sizes) // HELD
+            cuts = np.flatnonzero((np.diff(rows // block) != 0) | (np.diff(rows) < 0) | (np.diff(parts) != 0)) + 1
+            for first, last in zip([0, *cuts], [*cuts, len(rows)]):
+                more = int(sizes[first:last].sum())
+                if held and (held[0][0][0] // block != rows[first] // block or rows[first] < held[-1][0][-1] or size + more > HELD):
+                    yield from done()
+                size = more + (size if held else 0)
+                held.append((rows[first:last], texts.slice(first, last - first)))
+        yield from done()
+
+    return run
 
 
 def write_gram_index(df: DataFrame, path: str, columns: Sequence[str], rows_per_group: int = ROWS_PER_GROUP, block: int = BLOCK, files: int | None = None) -> None:
-    """Write the table and an index of each of ``columns``. Missing and empty texts are in the table only."""
+    """Write the table and an index of each of ``columns``, in at most ``files`` files a column.
+
+    Missing and empty texts are in the table only.
+    """
     spark = df.sparkSession
     number = "_row"
     while number in df.columns:
@@ -59,10 +139,11 @@ def write_gram_index(df: DataFrame, path: str, columns: Sequence[str], rows_per_
     for at, c in enumerate(df.columns):
         if c not in columns:
             continue
-        held = rows.select(col(number).alias("row"), F.explode(grams(F.lower(col(c)))).alias("gram"))
-        # The numbers of a block come from one task: the lists are whole before the shuffle.
-        lists = held.groupBy("gram", F.floor(F.col("row") / block).alias("block")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        write_keyed(lists.withColumn("n", F.size("rows").cast("long")), _folders(path, at), "gram", ["block"], LISTS_PER_GROUP, files)
+        held = rows.select(col(number).alias("row"), F.lower(col(c)).alias("text")).where("text <> ''")
+        lists = held.mapInArrow(_lists(block), POSTINGS)
+        # Distances of neighbours in a list are small: written as differences, a number takes about a byte.
+        packed = {"parquet.writer.version": "v2", "parquet.enable.dictionary#rows.list.element": "false"}
+        write_sorted(lists.coalesce(files) if files else lists, _folders(path, at), "gram", ["block"], LISTS_PER_GROUP, packed)
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +152,7 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 def _postings(spark: SparkSession, path: str, column: str) -> DataFrame:
     at = _rows(spark, path).columns.index(column)
-    return spark.read.schema("gram string, block long, rows array<long>, n long").parquet(_folders(path, at))
+    return spark.read.schema(POSTINGS).parquet(_folders(path, at))
 
 
 def postings_of(spark: SparkSession, path: str, column: str, term: str) -> DataFrame:
@@ -92,7 +173,7 @@ def candidates(spark: SparkSession, path: str, column: str, term: str, all_rows:
     lists = postings_of(spark, path, column, term)
     if len(term) < GRAM:
         held = lists.agg(F.sum("n")).first()[0] or 0
-        return None if held > limit else lists.select(F.explode("rows").alias("row")).distinct()
+        return None if held > limit else _numbers(lists, F.col("rows")).distinct()
     # A row per gram of the term.
     counts = {r["gram"]: r["n"] for r in lists.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     wanted = sorted(_whole_grams(term), key=lambda g: (counts.get(g, 0), g))[:RAREST]
@@ -103,7 +184,12 @@ def candidates(spark: SparkSession, path: str, column: str, term: str, all_rows:
     # RAREST lists of a block at most.
     met = lists.where(F.col("gram").isin(wanted)).groupBy("block").agg(F.collect_list("rows").alias("each")).where(F.size("each") == len(wanted))
     common = F.aggregate(F.slice("each", 2, RAREST), F.col("each")[0], F.array_intersect)
-    return met.select(F.explode(common).alias("row"))
+    return _numbers(met, common)
+
+
+def _numbers(lists: DataFrame, rows: Column) -> DataFrame:
+    """``row``: the numbers of the rows in lists of distances."""
+    return lists.select("block", F.explode(rows).alias("away")).select((F.col("block") + F.col("away")).alias("row"))
 
 
 def find_containing(spark: SparkSession, path: str, terms: dict[str, str], any_of: bool = False) -> DataFrame:

@@ -29,17 +29,23 @@ def write_keyed(df: DataFrame, path: str, key: str, order_by: Sequence[str] = ()
     """
     order = [col(c) for c in (key, *order_by)]
     dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    write_sorted(dealt, path, key, order_by, rows_per_group)
+    written = df.sparkSession.read.schema(df.schema).parquet(path).select(F.col("_metadata.file_name").alias("name"), col(key).alias("key"))
+    written.groupBy("name").agg(F.min("key").alias("least"), F.max("key").alias("most")).coalesce(1).write.parquet(f"{path}/{RANGES}")
+
+
+def write_sorted(df: DataFrame, path: str, key: str, order_by: Sequence[str] = (), rows_per_group: int = ROWS_PER_GROUP, options: dict[str, str] | None = None) -> None:
+    """Write each partition in order of ``key`` and ``order_by``, with bloom filters of the key."""
     (
-        dealt.sortWithinPartitions(*order)
+        df.sortWithinPartitions(*[col(c) for c in (key, *order_by)])
         .write.mode("overwrite")
         .option(f"parquet.bloom.filter.enabled#{key}", "true")
         .option(f"parquet.bloom.filter.expected.ndv#{key}", str(rows_per_group))
         .option("parquet.block.row.count.limit", str(rows_per_group))
         .option("parquet.page.row.count.limit", str(max(1, rows_per_group // 10)))
+        .options(**(options or {}))
         .parquet(path)
     )
-    written = df.sparkSession.read.schema(df.schema).parquet(path).select(F.col("_metadata.file_name").alias("name"), col(key).alias("key"))
-    written.groupBy("name").agg(F.min("key").alias("least"), F.max("key").alias("most")).coalesce(1).write.parquet(f"{path}/{RANGES}")
 
 
 def _files_holding(spark: SparkSession, path: str, wanted: Sequence) -> list[str] | None:

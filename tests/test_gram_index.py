@@ -1,9 +1,11 @@
 """Stored gram index: the rows of a scan, from a small part of the files."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfgrade.functions.text import contains
+from shelfgrade.sources import gram_index
 from shelfgrade.sources.gram_index import candidates, find_containing, postings_of, write_gram_index
 from shelfgrade.sources.keyed import rows_scanned
 
@@ -72,3 +74,53 @@ def test_empty_table(spark, rows, tmp_path):
     df, _ = rows
     write_gram_index(df.where("id < 0"), f"{tmp_path}/e", ["other"])
     assert find_containing(spark, f"{tmp_path}/e", {"other": "ring"}).count() == 0
+
+
+def test_postings_are_written_without_a_shuffle(spark, rows, tmp_path, monkeypatch):
+    plans, write = [], gram_index.write_sorted
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *more)
+
+    monkeypatch.setattr(gram_index, "write_sorted", seen)
+    write_gram_index(rows[0].limit(500), f"{tmp_path}/t", ["a.b", "other"], block=64)
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+
+
+def grams_by_hand(texts):
+    out = {}
+    for row, text in texts.items():
+        for i in range(len(text)):
+            out.setdefault(text[i : i + 3], set()).add(row)
+    return out
+
+
+@pytest.mark.parametrize("held", [1, 60, 1 << 21])
+def test_lists_of_batches_that_go_back(held, monkeypatch):
+    # A later part of a file first, a batch that ends inside a block, another file, and one long text.
+    monkeypatch.setattr(gram_index, "HELD", held)
+    order = [*range(70, 90), *range(40, 70), *range(1 << 33, (1 << 33) + 5), 3, 2]
+    texts = {r: f"é{r % 7}😀 ab" * (30 if r == 75 else 1) for r in order}
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array(part, pa.int64()), "text": [texts[r] for r in part]}) for part in (order[:13], order[13:35], [], order[35:])]
+    got, seen = {}, set()
+    for b in gram_index._lists(32)(batches):
+        for p in b.to_pylist():
+            assert p["rows"] == sorted(set(p["rows"])) and p["n"] == len(p["rows"]) and 0 <= p["rows"][0] <= p["rows"][-1] < 32
+            assert (p["gram"], p["block"]) not in seen
+            seen.add((p["gram"], p["block"]))
+            got.setdefault(p["gram"], set()).update(p["block"] + r for r in p["rows"])
+    assert got == grams_by_hand(texts)
+
+
+def test_more_characters_than_numbers_hold(monkeypatch):
+    texts = ["".join(map(chr, range(0x4E00 + 3000 * i, 0x4E00 + 3000 * (i + 1)))) for i in range(6)] * 3000
+    import numpy as np
+
+    short = [t[i % 2900 : i % 2900 + 4] for i, t in enumerate(texts)] + ["".join(map(chr, range(0x20000, 0x2A000)))]
+    lists = list(gram_index._postings_from(np.arange(len(short)), short))
+    got = {}
+    for b in lists:
+        for p in b.to_pylist():
+            got.setdefault(p["gram"], set()).update(p["block"] + r for r in p["rows"])
+    assert got == grams_by_hand(dict(enumerate(short)))
