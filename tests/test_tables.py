@@ -438,3 +438,51 @@ def test_only_the_picked_rows_reach_the_task_that_fits(spark, monkeypatch):
     model = boosting.fit_boosted(rows, rows.where("id % 2 = 0"), ["x"], "y", 3, 2, 0.1, 1.0, 1.0, 1)
     assert len(model.of_class) == 6
     assert "Coalesce 1" not in plans[0] and "Exchange" in plans[0]
+
+
+def test_all_training_rows_are_fitted(spark, folder):
+    rows = spark.range(0, 30_000, 1, 4).selectExpr("id", "double(id % 5) AS sugars_100g", "double(id % 3) AS salt_100g", "int(id % 5) AS nutriscore_label", "substr('abcde', int(id % 5) + 1, 1) AS nutriscore_grade")
+    fitted = []
+
+    def train(learn, columns, label, **settings):
+        fitted.append(learn.select("id").distinct().count())
+        return learning.train_boosted(learn, columns, label, **settings)
+
+    done = learning.train_and_save(rows, "id", f"{folder}/whole", f"{folder}/whole-metrics", train=train, max_iter=3, max_depth=3)
+    assert fitted == [24_000] and done.accuracy == 1.0
+    assert spark.read.parquet(f"{folder}/whole-metrics").first()["n_samples"] == 24_000
+
+
+def test_boosting_spread_over_tasks_gives_the_trees_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 3))
+    x[:300] = x[0]  # one row many times
+    label = np.clip(((x[:, 0] + x[:, 1]) * 1.5).astype(int), 0, 2)
+    label[:100] = 2 - label[0]
+    rows = [(*map(float, v), int(y)) for v, y in zip(x, label)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, nutriscore_label int").repartition(5)
+    monkeypatch.setattr(boosting, "BLOCK", 400)
+    settings = {"max_iter": 5, "max_depth": 3}
+    one = learning.train_boosted(df, ["a", "b", "c"], **settings)
+    monkeypatch.setattr(boosting, "ONE_TASK", 1000)
+    monkeypatch.setattr(boosting, "CUT", 2)
+    spread = learning.train_boosted(df, ["a", "b", "c"], **settings)
+    assert len(spread.of_class) == 15 and not spark.sparkContext._jsc.getPersistentRDDs()
+    for name in ("of_class", "feature", "threshold", "gain", "value"):
+        assert np.allclose(getattr(one, name), getattr(spread, name), rtol=1e-4, atol=1e-5), name
+    # With all rows and columns in each tree they are also the trees of the unfolded rows.
+    whole = learning.train_boosted(df, ["a", "b", "c"], subsample=1.0, feature_subset="1.0", **settings)
+    edges = boosting.bin_edges(df, ["a", "b", "c"])
+    plain = list(boosting.boost(x, label, edges, 3, 5, 3, 0.1, 1.0, 1.0, 42))
+    assert np.allclose(whole.value, np.array([t[5] for t in plain]), rtol=1e-4, atol=1e-5)
+
+
+def test_leaves_by_look_up_are_those_of_a_walk(monkeypatch):
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 9, (4, 500))
+    for level in (0, 1, 3, 6):
+        feature, cut = rng.integers(0, 4, 63), rng.integers(0, 10, 63)  # a cut of 9 sends all rows left
+        monkeypatch.setattr(boosting, "MASKED", 6)
+        looked_up = boosting.leaves(bins, feature, cut, level, 9)
+        monkeypatch.setattr(boosting, "MASKED", -1)
+        assert (looked_up == boosting.leaves(bins, feature, cut, level, 9)).all()
