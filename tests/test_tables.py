@@ -486,3 +486,16 @@ def test_leaves_by_look_up_are_those_of_a_walk(monkeypatch):
         looked_up = boosting.leaves(bins, feature, cut, level, 9)
         monkeypatch.setattr(boosting, "MASKED", -1)
         assert (looked_up == boosting.leaves(bins, feature, cut, level, 9)).all()
+
+
+def test_ruled_model_is_fitted_on_all_rows(spark, monkeypatch):
+    from checks import models
+    from shelfgrade.constants import FEATURES
+    from shelfgrade.plans.views import ROW
+
+    rows = spark.range(0, 24_000, 1, 4).selectExpr(*[f"id AS {c}" for c in ROW], *[f"double(id % {i + 7}) AS {c}" for i, c in enumerate(FEATURES)])
+    fitted, real = [], learning.fit_boosted
+    monkeypatch.setattr(models.views, "products", lambda spark, folder: rows)
+    monkeypatch.setattr(learning, "fit_boosted", lambda train, sample, *a, **s: fitted.append(sample.count()) or real(train, sample, *a, **s))
+    shown = {r["feature"]: r["decides"] for r in models.feature_importance(spark, "none").collect()}
+    assert fitted == [24_000] and [c for c in FEATURES if shown[c]] == ["sugars_100g"]
