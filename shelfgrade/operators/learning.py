@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BOOSTING, FEATURES, GRADES, MIN_QUERY_TEXT, MIN_TRAIN_TEXT, SPLIT_SEED, TEXT_SAMPLE
+from ..constants import BOOSTING, FEATURES, GRADES, MIN_QUERY_TEXT, MIN_TRAIN_TEXT, SPLIT_SEED
 from ..functions.grades import label_grade
 from ..functions.text import col, corpus_text
 from ..sources.sinks import append_metrics
@@ -220,17 +220,19 @@ def _fitted(learn: DataFrame, fit_rows: int | None, key: str) -> DataFrame:
     return learn if fit_rows is None else sample_rows(learn, fit_rows, key)
 
 
-def train_text_and_save(df: DataFrame, key: str, path: str, metrics_path: str | None = None, label: str = "label", names: Sequence[str] = GRADES, encoder: Sequence | None = None, fit_rows: int = TEXT_SAMPLE, **settings) -> Trained:
+def train_text_and_save(df: DataFrame, key: str, path: str, metrics_path: str | None = None, label: str = "label", names: Sequence[str] = GRADES, encoder: Sequence | None = None, fit_rows: int | None = None, **settings) -> Trained:
     """The same for texts (column ``text``) or vectors (``features``, with ``encoder=[]``) and a logistic model.
 
     The label is the place of a class in ``names``.
     """
     rows = stage(stratified_split(df, label, key), "texts").frame
     encoder = hashed_text() if encoder is None else encoder
-    model = train_logistic(sample_rows(rows.where("NOT is_test"), fit_rows, key), label, encoder, **settings)
+    learn = rows.where("NOT is_test")
+    model = train_logistic(_fitted(learn, fit_rows, key), label, encoder, **settings)
     known = F.array(*[F.lit(n) for n in names])
     scored = score_classes(model, rows.where("is_test"), names).withColumn("actual", F.get(known, col(label).cast("int")))
-    return _finish(model, scored, "actual", "predicted", names, "logistic", path, metrics_path, n_samples=fit_rows, encoder="hashed words" if encoder else None)
+    n_samples = learn.count() if fit_rows is None else fit_rows
+    return _finish(model, scored, "actual", "predicted", names, "logistic", path, metrics_path, n_samples=n_samples, encoder="hashed words" if encoder else None)
 
 
 def save_model(model: PipelineModel | BoostedTrees, path: str) -> None:

@@ -499,3 +499,12 @@ def test_ruled_model_is_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(learning, "fit_boosted", lambda train, sample, *a, **s: fitted.append(sample.count()) or real(train, sample, *a, **s))
     shown = {r["feature"]: r["decides"] for r in models.feature_importance(spark, "none").collect()}
     assert fitted == [24_000] and [c for c in FEATURES if shown[c]] == ["sugars_100g"]
+
+
+def test_all_training_texts_are_fitted(spark, folder, monkeypatch):
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("id", "int(id % 2) AS label", "array(double(id % 2), double(id % 7)) AS embedding")
+    fitted, real = [], learning.train_logistic
+    monkeypatch.setattr(learning, "train_logistic", lambda learn, *a, **s: fitted.append(learn.select("id").distinct().count()) or real(learn, *a, **s))
+    done = learning.train_text_and_save(learning.embedding_rows(rows), "id", f"{folder}/vectors", f"{folder}/vector-metrics", names=["0", "1"], encoder=[], max_iter=5)
+    assert fitted == [32_000] and done.accuracy == 1.0
+    assert spark.read.parquet(f"{folder}/vector-metrics").first()["n_samples"] == 32_000
