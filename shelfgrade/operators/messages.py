@@ -49,6 +49,10 @@ def keyword_hits(words: DataFrame, products: DataFrame, tie_break: Sequence[str]
     matched = match_words(needles.where("needle <> ''"), lists.select(F.col("_word").alias("word")).distinct())
     # At most n rows a word in the lists, and a word is matched by its own parts only: nothing is hot.
     offered = lists.join(matched.select(F.col("word").alias("_word"), F.col("needle").alias("word")), "_word").drop("_word")
+    # A common word is part of much of the vocabulary and each of its lists, so every task keeps its n best products
+    # of a word before anything is shuffled; a product comes from several words and counts once.
+    near = F.dense_rank().over(Window.partitionBy("word").orderBy(*order))
+    offered = offered.withColumn("_near", near).where(F.col("_near") <= n).drop("_near")
     best = stage(top_rows(offered.dropDuplicates(["word", *tie_break]), ["word"], order, n, "place"), "best").frame
     hits = _fetched(best, products, ranked_by, kept)
     if not needles.where("needle = ''").isEmpty():

@@ -57,7 +57,7 @@ def _by_words(words: DataFrame, corpus: DataFrame) -> DataFrame:
 def match_words(needles: DataFrame, words: DataFrame) -> DataFrame:
     """``needle, word`` for needles without white space and the distinct words they occur in."""
     vocabulary = stage(words, "vocabulary").frame
-    pairs = _matches(needles, vocabulary.select(F.col("word").alias("text_id"), F.col("word").alias("text")))
+    pairs = _matches(needles, vocabulary.select(F.col("word").alias("text_id")))
     return pairs.select("needle", F.col("text_id").alias("word"))
 
 
@@ -66,13 +66,18 @@ def _grams(c, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
+def _text(corpus: DataFrame) -> str:
+    """The column of the texts; a corpus without one has texts that are their own numbers."""
+    return "text" if "text" in corpus.columns else "text_id"
+
+
 def _matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     """``needle, text_id`` for every needle and the texts it occurs in."""
     matched = _long_matches(words.where(F.length("needle") >= GRAM), corpus)
     short = words.where(F.length("needle") < GRAM)
     # A needle shorter than a gram is a gram of that size itself. (At most two sizes.)
     for size in [r["n"] for r in short.select(F.length("needle").alias("n")).distinct().collect()]:
-        held = corpus.select("text_id", F.explode(_grams("text", size)).alias("needle"))
+        held = corpus.select("text_id", F.explode(_grams(_text(corpus), size)).alias("needle"))
         exact = short.where(F.length("needle") == size)
         matched = matched.unionByName(held.join(exact, "needle").select("needle", "text_id"))
     return matched
@@ -80,7 +85,7 @@ def _matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def _long_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     word_grams = words.select("needle", F.explode(_grams("needle", GRAM)).alias("gram"))
-    held = corpus.select("text_id", F.explode(_grams("text", GRAM)).alias("gram"))
+    held = corpus.select("text_id", F.explode(_grams(_text(corpus), GRAM)).alias("gram"))
     # Only grams of some needle are kept, and written once: they are counted, then looked up.
     held = stage(held.join(word_grams.select("gram").distinct(), "gram", "left_semi"), "grams").frame
     spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
@@ -95,6 +100,5 @@ def _long_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     anchors = stage(anchors, "anchors").frame
     candidates = held.join(anchors, "gram").select("text_id", "needle")
-    return (
-        candidates.join(corpus, "text_id").where(F.contains(F.col("text"), F.col("needle"))).select("needle", "text_id")
-    )
+    texts = candidates.join(corpus, "text_id") if "text" in corpus.columns else candidates
+    return texts.where(F.contains(F.col(_text(corpus)), F.col("needle"))).select("needle", "text_id")

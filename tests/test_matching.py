@@ -183,3 +183,19 @@ def test_replies_and_context(spark):
         "  • Soda (Marque inconnue) — Nutri-Score C (Moyen — À consommer avec modération ⚠️)\n"
         f"    Énergie: {2.5:.0f} kcal | Sucres: {10.25:.1f}g | Sel: 0.00g | Graisses: 0.5g | Protéines: 1.0g | Additifs: 3\n"
     )
+
+
+def test_tasks_keep_the_best_products_of_an_asked_word_before_the_shuffle(spark, monkeypatch):
+    # Each product has words of its own that hold "berry", and all have some in common.
+    rows = [(i, f"berry{i} blackberry{i % 7} berry x{i}", "abcde"[i * 7 % 5]) for i in range(200)]
+    products = spark.createDataFrame([*rows, (1, *rows[1][1:])], "id int, product_name string, nutriscore_grade string").selectExpr("*", "'b' AS brands")
+    asked = spark.createDataFrame([("berry",), ("x1",), ("ck",)], "word string")
+    plans, real = [], messages.stage
+    monkeypatch.setattr(messages, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    hits = messages.keyword_hits(asked, products, ["id"], shown=["product_name", "nutriscore_grade"])
+    got = {(r["word"], r["place"]): r["id"] for r in hits.collect()}
+    for (word,) in asked.collect():
+        best = sorted((g, i) for i, name, g in rows if word in name)[:3]
+        assert [got[word, p] for p in (1, 2, 3)] == [i for _, i in best]
+    plan = dict(plans)["best"]
+    assert any("WindowGroupLimit" in line and "dense_rank" in line and "Partial" in line for line in plan.splitlines())
